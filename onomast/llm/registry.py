@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from onomast.llm import bpe, langid, mixing, quality, simhash
+from onomast.llm import bpe, langid, mixing, quality, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_mixing": mixing.query,
     "op4_bpe": bpe.query,
     "op5_langid": langid.query,
+    "op7_warc": warc.query,
     "op10_quality": quality.query,
 }
 
 SQL = {
     "op3_mixing": mixing.SQL,
+    "op7_warc": warc.SQL,
 }
