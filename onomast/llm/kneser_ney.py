@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.shared import cut
+from onomast.llm import files
+from onomast.llm.shared import new_folder, remove
 from onomast.llm.vec import SortedHashArray, code_points, slices
 
 BOS = 1
@@ -97,28 +99,33 @@ def count_ngrams(df: DataFrame, text: Column, label: Column, order: int) -> Data
     return rows.mapInArrow(counted, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def collect_counts(counts: DataFrame, max_ngrams: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The counts by label on the driver, at most ``max_ngrams`` of them.
+def collect_counts(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """All the counts by label, on the driver: 16 bytes for each distinct n-gram.
 
-    The table of distinct character n-grams stops growing long before the
-    corpus does.  Its size is checked all the same: if it is above
-    ``max_ngrams``, the rarest n-grams are left out of the model, whose
-    smoothing then covers them through shorter contexts.
+    They are written to the shared folder and read file by file, so neither
+    the size of results nor a lost executor matters.  Distinct n-grams of
+    characters grow far slower than the corpus; none is left out.
     """
-    counts = cut(counts)
-    if (total := counts.count()) > max_ngrams:
-        by = sorted(((r["k"], r["rows"]) for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("k")).agg(F.count("*").alias("rows")).collect()))
-        cutoff = next((k + 1 for k, left in zip((k for k, _ in by), total - np.cumsum([r for _, r in by])) if left <= max_ngrams), by[-1][0])
-        counts = counts.where(F.col("n") >= int(cutoff))
-    table = counts.toArrow()
-    labels = np.asarray(table.column("label").to_pylist(), dtype=object)
-    grams = table.column("gram").to_numpy().astype(np.uint64)
-    ns = table.column("n").to_numpy().astype(np.float64)
+    spark = counts.sparkSession
+    folder = new_folder(spark, "ngrams")
+    counts.write.parquet(folder)
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for path, _ in files.sizes(folder, (".parquet",)):
+        with files.open_read(path) as f:
+            table = pq.read_table(f)
+        if not table.num_rows:
+            continue
+        labels = table.column("label").combine_chunks().dictionary_encode()
+        codes = labels.indices.to_numpy(zero_copy_only=False)
+        grams, ns = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
+        for i, name in enumerate(labels.dictionary.to_pylist()):
+            held.setdefault(name, []).append((grams[codes == i], ns[codes == i]))
+    remove(spark, folder)
     out = {}
-    for name in sorted(set(labels.tolist())):
-        at = np.flatnonzero(labels == name)
-        at = at[np.argsort(grams[at])]
-        out[name] = (grams[at], ns[at])
+    for name in sorted(held):
+        grams, ns = (np.concatenate(x) for x in zip(*held.pop(name)))
+        order = np.argsort(grams)
+        out[name] = (grams[order], ns[order])
     return out
 
 
@@ -191,9 +198,9 @@ class NgramModel:
         return out
 
 
-def fit(df: DataFrame, text: Column, label: Column, order: int, smoothing: str, max_ngrams: int) -> dict[str, NgramModel]:
+def fit(df: DataFrame, text: Column, label: Column, order: int, smoothing: str) -> dict[str, NgramModel]:
     """A model for each label, from the n-grams of all its rows."""
-    counts = collect_counts(count_ngrams(df, text, label, order), max_ngrams)
+    counts = collect_counts(count_ngrams(df, text, label, order))
     return {name: NgramModel(k, n, order, smoothing) for name, (k, n) in counts.items()}
 
 

@@ -15,8 +15,6 @@ from onomast.llm.shared import cut
 ORDER = 4
 #: A text whose cross-entropy is this many deviations above what its language's texts have is in none of them.
 MAX_DEVIATIONS = 6.0
-#: Size above which the rarest n-grams are left out of the models that are sent to the executors.
-MAX_NGRAMS = 20_000_000
 
 
 def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], text: str = "text", prefix: str = "") -> DataFrame:
@@ -53,7 +51,7 @@ def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], t
     return out.select(*docs.columns, *[F.col(f"{found}.{k}").alias(prefix + k) for k in ("label", "score", "runner", "n")])
 
 
-def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviations: float = MAX_DEVIATIONS, max_ngrams: int = MAX_NGRAMS, prefix: str = "") -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviations: float = MAX_DEVIATIONS, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id, text, lang, ...) with the language found.
 
     Training: one model per value of ``lang``, from the character n-grams of
@@ -68,7 +66,7 @@ def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviation
     decided alike, one by one.  Columns of the same name in ``docs`` must be
     left out of ``keep`` or a ``prefix`` given for the added ones.
     """
-    models = kneser_ney.fit(docs, F.lower("text"), F.col("lang"), order, "kn", max_ngrams)
+    models = kneser_ney.fit(docs, F.lower("text"), F.col("lang"), order, "kn")
     names = ["pred_lang", "cross_entropy", "margin", "accepted"]
     if not models:
         none = [F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)]

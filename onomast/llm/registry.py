@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from onomast.llm import bpe, langid, mixing, quality, simhash, warc
+from onomast.llm import bpe, langid, mixing, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op5_langid": langid.query,
     "op7_warc": warc.query,
+    "op9_urls": urls.query,
     "op10_quality": quality.query,
 }
 

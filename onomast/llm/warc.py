@@ -408,7 +408,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     found = read_warc(spark, folder).where("warc_type = 'response' AND content_type LIKE 'application/http%'")
-    return found.select(F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)").alias("page_id"), F.col("target_uri").alias("url"), "http_status", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.decode("payload", F.lit("UTF-8")).alias("html"))
+    return found.select(F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)").alias("page_id"), F.col("target_uri").alias("url"), "http_status", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.decode("payload", "UTF-8").alias("html"))
 
 
 SQL = """
