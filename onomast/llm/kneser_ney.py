@@ -179,11 +179,11 @@ class NgramModel:
             self.log_left.append(np.log(np.maximum(left, 1e-12)))
             shorter = (table, log_p)
 
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log of P(last character | the characters before it) for each packed n-gram."""
+    def log_probability(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
+        """Natural log of P(last character | the characters before it, at most ``order`` - 1 of them) for each packed n-gram."""
         out = np.zeros(len(keys))
         todo, at = np.arange(len(keys)), np.asarray(keys, np.uint64)
-        for k in range(self.order, 0, -1):
+        for k in range(order or self.order, 0, -1):
             at = at & np.uint64((1 << int(self.bits) * k) - 1)
             row = self.find_gram[k - 1].find(at)
             seen = row >= 0
@@ -204,13 +204,14 @@ def fit(df: DataFrame, text: Column, label: Column, order: int, smoothing: str)
     return {name: NgramModel(k, n, order, smoothing) for name, (k, n) in counts.items()}
 
 
-def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | None = None, low: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log probabilities of each text under each model (or under model ``which[row]`` alone), and its characters.
 
-    Distinct n-grams of a slice are looked up once.
+    Distinct n-grams of a slice are looked up once.  With ``low`` as many
+    columns again follow: the sums by the models' n-grams of that order.
     """
     width = len(models) if which is None else 1
-    sums, lengths = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64)
+    sums, lengths = np.zeros((len(texts), width * (1 + bool(low)))), np.zeros(len(texts), np.int64)
     groups = [(None, np.arange(len(texts)))] if which is None else [(m, np.flatnonzero(which == m)) for m in np.unique(which[which >= 0])]
     for m, rows in groups:
         own = texts if m is None else texts.take(pa.array(rows))
@@ -219,8 +220,12 @@ def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | N
             at = rows[first : first + len(part)]
             lengths[at] = n
             distinct, back = np.unique(keys, return_inverse=True)
+            ends = np.cumsum(n)
+            if low:
+                short, again = np.unique(distinct & np.uint64((1 << bits_of(models[0].order) * low) - 1), return_inverse=True)
             for j, model in enumerate(models if m is None else [models[m]]):
-                values = np.concatenate([[0.0], np.cumsum(model.log_probability(distinct)[back])])
-                ends = np.cumsum(n)
-                sums[at, j] = values[ends] - values[ends - n]
+                found = [(j, model.log_probability(distinct))] + ([(width + j, model.log_probability(short, low)[again])] if low else [])
+                for column, of_key in found:
+                    values = np.concatenate([[0.0], np.cumsum(of_key[back])])
+                    sums[at, column] = values[ends] - values[ends - n]
     return sums, lengths

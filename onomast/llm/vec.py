@@ -120,11 +120,12 @@ class SortedHashArray:
 
     def __init__(self, keys: np.ndarray):
         hashed = mix64(np.asarray(keys, dtype=np.uint64))
-        self.order = np.argsort(hashed, kind="stable")
-        self.hashes = hashed[self.order]
-        bits = max(1, min(22, int(len(keys)).bit_length() + 1))
+        order = np.argsort(hashed, kind="stable")
+        self.hashes = hashed[order]
+        self.order = order.astype(np.int32 if len(order) < 1 << 31 else np.int64)
+        bits = max(1, min(22, int(len(keys)).bit_length()))
         self.shift = _U(64 - bits)
-        self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+        self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(self.order.dtype)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
