@@ -208,7 +208,8 @@ def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | N
     """Sum of log probabilities of each text under each model (or under model ``which[row]`` alone), and its characters.
 
     Distinct n-grams of a slice are looked up once.  With ``low`` as many
-    columns again follow: the sums by the models' n-grams of that order.
+    columns again follow: the sums of the log joint probabilities of ``low``
+    characters, which is a character's by each order up to that, added up.
     """
     width = len(models) if which is None else 1
     sums, lengths = np.zeros((len(texts), width * (1 + bool(low)))), np.zeros(len(texts), np.int64)
@@ -224,7 +225,7 @@ def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | N
             if low:
                 short, again = np.unique(distinct & np.uint64((1 << bits_of(models[0].order) * low) - 1), return_inverse=True)
             for j, model in enumerate(models if m is None else [models[m]]):
-                found = [(j, model.log_probability(distinct))] + ([(width + j, model.log_probability(short, low)[again])] if low else [])
+                found = [(j, model.log_probability(distinct))] + ([(width + j, sum(model.log_probability(short, k) for k in range(1, low + 1))[again])] if low else [])
                 for column, of_key in found:
                     values = np.concatenate([[0.0], np.cumsum(of_key[back])])
                     sums[at, column] = values[ends] - values[ends - n]

@@ -13,72 +13,87 @@ from onomast.llm import bands, kneser_ney
 from onomast.llm.shared import cut
 
 ORDER = 4
-#: A text whose cross-entropy is this many deviations above what its language's texts have is in none of them.
+#: Characters whose joint probability a minority of texts with a wrong label hardly moves.
+LOW = 2
+#: A text whose cross-entropy is this many deviations from what its language's texts have is in none of them.
 MAX_DEVIATIONS = 6.0
 
 
-def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with label (of the lowest length-normalised cross-entropy), score (nats a character), runner (the second's score), n (characters).
+def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], text: str = "text", half: str = "half", prefix: str = "") -> DataFrame:
+    """``docs`` with label (of the lowest length-normalised cross-entropy), score (nats a character), runner (the second's score), low (nats of LOW characters together, by the label's model), n (characters).
 
-    Of two languages with the same score the alphabetically first is taken.
-    Null and empty texts have null label and score.  Columns are named ``prefix`` + name.
+    ``models`` are named half + language; a text is scored by those that
+    haven't seen its ``half`` (0 or 1).  A language that has a model of one
+    half only can't be chosen by texts of that half.  Of two languages with
+    the same score the alphabetically first is taken.  Null and empty texts,
+    and texts that no model may score, have null label and score.  Columns are named ``prefix`` + name.
     """
-    names = sorted(models)
-    sent = docs.sparkSession.sparkContext.broadcast([models[k] for k in names])
-    kind = "struct<label:string,score:double,runner:double,n:bigint>"
+    names = [sorted(k[1:] for k in models if k[0] == str(1 - i)) for i in (0, 1)]
+    sent = docs.sparkSession.sparkContext.broadcast([[models[f"{1 - i}{k}"] for k in names[i]] for i in (0, 1)])
+    kind = "struct<label:string,score:double,runner:double,low:double,n:bigint>"
 
     @F.arrow_udf(kind)
-    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        use = sent.value
-        for texts in batches:
-            sums, n = kneser_ney.text_scores(texts, use)
-            scores = -sums / np.maximum(n, 1)[:, None]
-            rank = np.argsort(scores, axis=1, kind="stable")
+    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, halves in batches:
+            side = halves.to_numpy(zero_copy_only=False)
+            label = np.full(len(texts), None, object)
+            values, n = np.zeros((3, len(texts))), np.zeros(len(texts), np.int64)
+            for i in (0, 1):
+                at = np.flatnonzero(side == i)
+                if not len(at) or not names[i]:
+                    continue
+                sums, n[at] = kneser_ney.text_scores(texts.take(pa.array(at)), sent.value[i], low=LOW)
+                scores = -sums / np.maximum(n[at], 1)[:, None]
+                width, rows = len(names[i]), np.arange(len(at))
+                rank = np.argsort(scores[:, :width], axis=1, kind="stable")
+                label[at] = np.asarray(names[i], dtype=object)[rank[:, 0]]
+                values[:, at] = scores[rows, rank[:, 0]], scores[rows, rank[:, min(1, width - 1)]], scores[rows, width + rank[:, 0]]
             empty = n == 0
-            rows = np.arange(len(n))
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(np.asarray(names, dtype=object)[rank[:, 0]], pa.string(), mask=empty),
-                    pa.array(scores[rows, rank[:, 0]], mask=empty),
-                    pa.array(scores[rows, rank[:, min(1, len(names) - 1)]], mask=empty),
-                    pa.array(n),
-                ],
-                names=["label", "score", "runner", "n"],
-            )
+            yield pa.StructArray.from_arrays([pa.array(label, pa.string(), mask=empty), *[pa.array(x, mask=empty) for x in values], pa.array(n)], names=["label", "score", "runner", "low", "n"])
 
     found = prefix + "found"
-    out = docs.withColumn(found, best(F.lower(F.col(text))))
-    return out.select(*docs.columns, *[F.col(f"{found}.{k}").alias(prefix + k) for k in ("label", "score", "runner", "n")])
+    out = docs.withColumn(found, best(F.lower(F.col(text)), F.col(half)))
+    return out.select(*docs.columns, *[F.col(f"{found}.{k}").alias(prefix + k) for k in ("label", "score", "runner", "low", "n")])
 
 
 def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviations: float = MAX_DEVIATIONS, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id, text, lang, ...) with the language found.
 
-    Training: one model per value of ``lang``, from the character n-grams of
-    all rows that have one.  Decision: lowest cross-entropy per character.
-    Rejection, calibrated on all rows: a text is accepted unless it is more
-    than ``max_deviations`` above its language's median, where the deviation
-    grows as the text gets shorter.
+    Training: two models per value of ``lang``, one for each half of the texts
+    by their hash, from the character n-grams of all rows that have one; a
+    text is scored by the models of the other half, which have seen neither it
+    nor a copy.  Decision: lowest cross-entropy per character.
+    Rejection, calibrated on all texts of a language and half, each counted once: a text is accepted
+    unless its cross-entropy is more than ``max_deviations`` above its
+    language's median, or below it, as that of a foreign text whose few words
+    are known from others with a wrong label.  Since such a text may fall
+    between, the improbability of its LOW characters together mustn't be that
+    far above either: a minority can't make those likely, and the models count
+    in how many contexts they occur, not how often.  The deviation grows as the text gets shorter.
 
     Added: pred_lang, cross_entropy, margin (to the second language),
     accepted.  Null, empty and blank texts, and texts without any letter: pred_lang null,
-    accepted false.  No labelled rows at all: every row so.  Repeated rows are
+    accepted false.  No labelled rows at all: every row so, and texts of one
+    half where only that half has labelled rows.  Repeated rows are
     decided alike, one by one.  Columns of the same name in ``docs`` must be
     left out of ``keep`` or a ``prefix`` given for the added ones.
     """
-    models = kneser_ney.fit(docs, F.lower("text"), F.col("lang"), order, "kn")
+    inner = "_onomast_"
+    text = F.lower("text")
+    half = F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
+    models = kneser_ney.fit(docs, text, F.concat(half.cast("string"), F.col("lang").cast("string")), order, "kn")
     names = ["pred_lang", "cross_entropy", "margin", "accepted"]
     if not models:
         none = [F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)]
         return docs.select(*keep, *[c.alias(prefix + k) for c, k in zip(none, names)])
-    inner = "_onomast_"
-    has = docs.select(*keep, F.col("text").alias(inner + "text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(inner + "letters"))
-    scored = cut(score_languages(has, models, inner + "text", inner).drop(inner + "text"))
-    stats = bands.calibrate(scored.where(inner + "letters"), inner + "label", inner + "score", inner + "n")
-    z = bands.deviations(stats, inner + "label", inner + "score", inner + "n")
+    has = docs.select(*keep, F.col("text").alias(inner + "text"), half.alias(inner + "half"), F.xxhash64(text).alias(inner + "hash"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(inner + "letters"))
+    scored = cut(score_languages(has, models, inner + "text", inner + "half", inner).withColumn(inner + "group", F.concat(F.col(inner + "half").cast("string"), F.col(inner + "label"))).drop(inner + "text", inner + "half"))
+    once = cut(scored.where(inner + "letters").select(*[inner + k for k in ("group", "score", "low", "n", "hash")]).dropDuplicates([inner + "hash"]))
+    z, z_low = (bands.deviations(bands.calibrate(once, inner + "group", inner + k, inner + "n"), inner + "group", inner + k, inner + "n") for k in ("score", "low"))
     good = F.col(inner + "letters")
-    added = [F.when(good, F.col(inner + "label")), F.col(inner + "score"), F.col(inner + "runner") - F.col(inner + "score"), F.coalesce(good & (z <= max_deviations), F.lit(False))]
-    return scored.select(*keep, *[c.alias(prefix + k) for c, k in zip(added, names)])
+    inside = (F.abs(z) <= max_deviations) & (z_low <= max_deviations)
+    added = [F.when(good, F.col(inner + "label")), F.col(inner + "score"), F.col(inner + "runner") - F.col(inner + "score"), F.coalesce(good & inside, F.lit(False))]
+    return scored.select(*keep, *[c.alias(prefix + k) for k, c in zip(names, added)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
