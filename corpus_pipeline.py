@@ -20,7 +20,7 @@ STAGES = [
     ("bpe_encode", bpe.stage),
 ]
 
-#: SQL has no language models, signatures or merges; the stages are tested against brute force.
+#: SQL has no language models, signatures or merges.
 ORACLE_SQL = None
 
 
