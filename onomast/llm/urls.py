@@ -4,7 +4,8 @@ One smoothed variable-order Markov model is trained on the URLs of rejected
 seeds, one on all others; both predict a character from the longest context
 seen, weighed with the shorter ones.  A URL's score is the difference of its
 log likelihoods for each character, and the threshold is calibrated on every
-URL, each scored by models that haven't seen its half of the data.
+URL, each scored by models that haven't seen its half of the data, as far as
+the other half has such rows.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def filter_urls(pages: DataFrame, keep: list[str], url: str = "url", rejected: C
     ``rejected``: which rows are rejected seeds; a host with one of SEEDS
     where none is given.  Null and blank URLs have a null score, can't be
     judged and are kept.  If all rows or none are seeds there is nothing to
-    compare: scores are null and all rows are kept.  Repeated rows are judged
+    compare: scores are null and all rows are kept.  If all rows of a kind are
+    in one half, both halves are scored by the one model of that kind.  Repeated rows are judged
     alike, as both copies are in the same half.  An empty table gives an empty
     result.  Added columns are named ``prefix`` + name.
     """
@@ -69,9 +71,9 @@ def filter_urls(pages: DataFrame, keep: list[str], url: str = "url", rejected: C
     names = ["seed", "score", "threshold", "kept"]
     label = F.concat(F.when(F.col(t + "seed"), "r").otherwise("a"), F.col(t + "half").cast("string"))
     models = kneser_ney.fit(rows, F.col(t + "text"), label, order, "wb")
-    if len(models) < 4:
+    if not all(any(k[0] == kind for k in models) for kind in "ar"):
         return rows.select(*keep, F.col(t + "seed").alias(prefix + names[0]), F.lit(None).cast("double").alias(prefix + names[1]), F.lit(None).cast("double").alias(prefix + names[2]), F.lit(True).alias(prefix + names[3]))
-    sent = pages.sparkSession.sparkContext.broadcast([[models[f"a{1 - i}"], models[f"r{1 - i}"]] for i in (0, 1)])
+    sent = pages.sparkSession.sparkContext.broadcast([[models.get(f"{kind}{1 - i}") or models[f"{kind}{i}"] for kind in "ar"] for i in (0, 1)])
 
     @F.arrow_udf("double")
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
