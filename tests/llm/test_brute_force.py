@@ -1,0 +1,38 @@
+import random
+
+import numpy as np
+from onomast.llm import bpe, simhash
+
+
+def merged(v, piece):
+    token = [int(v.of_byte[b]) for b in piece]
+    while True:
+        ranks = [(v.pairs.get(p), i) for i, p in enumerate(zip(token, token[1:])) if p in v.pairs]
+        if not ranks:
+            return token
+        r, i = min(ranks)
+        token[i : i + 2] = [r]
+
+
+def test_bpe_merges():
+    rng = random.Random(1)
+    v = bpe.vocabulary(bpe.VOCABULARY)
+    texts = ["".join(rng.choice("the andionéß漢&1 \n") for _ in range(n)) for n in (0, 1, 5, 80, 700)] + ["information" * 60, None]
+    tokens, n = v.encode(texts)
+    want = [[t for piece in v.pattern.findall(x or "") for t in merged(v, piece.encode())] for x in texts]
+    assert n.tolist() == [len(x) for x in want]
+    assert tokens.tolist() == [t for x in want for t in x]
+
+
+def test_every_pair_up_to_distance_11_is_found(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(40):
+        base = rng.getrandbits(128)
+        rows += [base] + [base ^ sum(1 << b for b in rng.sample(range(128), k)) for k in (1, 6, 11)]
+    halves = np.array([[x & (1 << 64) - 1, x >> 64] for x in rows], np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(halves)], "node bigint, s0 bigint, s1 bigint")
+    found = [(r.a, r.b, r.distance) for r in simhash.near_pairs(df).collect()]
+    want = {(i, j): (rows[i] ^ rows[j]).bit_count() for i in range(len(rows)) for j in range(i + 1, len(rows)) if (rows[i] ^ rows[j]).bit_count() <= 18}
+    assert len(found) == len(set(found)) and all(want[a, b] == d for a, b, d in found)
+    assert {(a, b) for a, b, _ in found} >= {p for p, d in want.items() if d <= 11}
