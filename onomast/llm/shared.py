@@ -11,16 +11,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset on a local master, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = sc.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="onomast-")
         found = _own[app]
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
     return found
 
 
@@ -29,10 +29,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """``df`` written as a Parquet table in the shared folder and read from there, and the table's URI, for :func:`remove` once nothing reads it any more."""
+    spark = df.sparkSession
+    uri = new_folder(spark, name)
+    df.write.parquet(uri)
+    return spark.read.schema(df.schema).parquet(uri), uri
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: its lineage ends, a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` from a table in the shared folder: its lineage ends, a lost executor loses nothing.  The table stays as long as the folder."""
+    return written(df)[0]
 
 
 def remove(spark: SparkSession, uri: str) -> None:
