@@ -1,7 +1,8 @@
 """Byte-level BPE: length-bucketed padded numpy matrices, one merge per row and round.
 
-A text is cut into pieces by the vocabulary's pattern, distinct pieces of a
-batch are put into matrices of equal padded length, and in every round each
+Texts are cut into pieces by the vocabulary's pattern, whose boundaries are
+found for all characters of a slice at once from their classes.  Its distinct
+pieces are put into matrices of equal padded length, and in every round each
 row merges its leftmost pair of least rank.  Ranks of pairs come from a sorted
 hash array of all (left, right) whose bytes together are a token; after a
 merge only the two pairs beside it are looked up again, and rows without a
@@ -29,8 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NONE = np.int64(1 << 40)
 #: Pieces of more bytes than this are merged with a queue, whose time doesn't grow with the square of the length.
 LONG_PIECE = 256
-#: Text bytes encoded together; more of them share more pieces.
-SLICE = 8 << 20
+#: Text bytes encoded together.
+SLICE = 2 << 20
 
 
 class Vocabulary:
@@ -53,7 +54,6 @@ class Vocabulary:
         self.table = SortedHashArray((left << 32 | right).astype(np.uint64))
         self.pair_rank = np.concatenate([rank, [NONE]])
         self.pairs = {(a, b): r for a, b, r in pairs}
-        self.pattern = regex.compile(PATTERN)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge; NONE where there is none."""
@@ -146,25 +146,23 @@ class Vocabulary:
             out[spread(ends[rows] - n, n)] = tokens
         return out, counts
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts end to end (int32) and how many each has."""
-        cut = self.pattern.findall
-        pieces: list[str] = []
-        ends = []
-        for text in texts:
-            if text:
-                pieces += cut(text)
-            ends.append(len(pieces))
-        if not pieces:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts end to end (int32) and how many each has; a null text has none."""
+        data, offsets = raw_bytes(texts)
+        if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        cuts = piece_starts(data, offsets)
+        ends = np.concatenate([cuts[1:], [len(data)]])
+        edges = np.concatenate([cuts, ends[-1:]]).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
         tokens, counts = self.encode_pieces(coded.dictionary)
         n = counts[codes]
         starts = (np.cumsum(counts) - counts)[codes]
         total = np.concatenate([[0], np.cumsum(n)])
-        upto = total[np.asarray(ends)]
-        return tokens[spread(starts, n)], np.diff(np.concatenate([[0], upto]))
+        upto = total[np.searchsorted(cuts, offsets)]
+        return tokens[spread(starts, n)].astype(np.int32, copy=False), np.diff(upto)
 
     def decode_bytes(self, tokens: np.ndarray) -> np.ndarray:
         """The bytes of tokens, end to end."""
@@ -177,6 +175,57 @@ def spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n)
 
 
+OTHER, LETTER, NUMBER, SPACE = range(4)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point, as the pattern sees it."""
+    out = np.zeros(0x110000, np.uint8)
+    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "?" for i in range(0x110000))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of UTF-8 texts (end to end, with the n+1 offsets between them) start, as byte positions.
+
+    The same as all matches of PATTERN in each text: runs of one class, to
+    which a blank before them belongs; white space before anything else
+    without its last character; and the contractions of an apostrophe.
+    """
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    kind = _classes()[cps]
+    n = len(cps)
+    text_start = np.zeros(n + 1, bool)
+    text_start[np.searchsorted(lead, offsets)] = True
+    text_start = text_start[:n]
+    before = np.concatenate([[OTHER], kind[:-1]])
+    after_blank = np.concatenate([[False], cps[:-1] == 32]) & ~text_start
+    run = text_start | (kind != before)
+    start = run & ~((kind != SPACE) & after_blank)  # a blank before belongs to the run
+    # the last white space before something else stands alone or, if a blank, goes with it
+    last = (kind == SPACE) & np.concatenate([(kind[1:] != SPACE) & ~text_start[1:], [False]])
+    start |= last
+    # 's 't 'm 'd 're 've 'll
+    quote = np.flatnonzero((cps == 39) & run & ~after_blank)
+    quote = quote[quote + 1 < n]
+    quote = quote[~text_start[quote + 1]]
+    one = cps[quote + 1]
+    two = np.where((quote + 2 < n) & ~text_start[np.minimum(quote + 2, n - 1)], cps[np.minimum(quote + 2, n - 1)], 0)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ~short & ((((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+    start[quote[short | long] + 1] = False
+    after = np.concatenate([quote[short] + 2, quote[long] + 3])
+    after = after[after < n]
+    start[after[kind[after] == LETTER]] = True
+    start |= text_start
+    return lead[start]
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python process."""
@@ -192,7 +241,7 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
         for texts in batches:
             parts = []
             for _, part in slices(texts, SLICE):
-                tokens, n = v.encode(part.to_pylist())
+                tokens, n = v.encode(part)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens), mask=pc.is_null(part)))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -207,14 +256,14 @@ def decode(tokens: Column, path: str = VOCABULARY) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for lists in batches:
-            out = []
-            for row in lists:
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                ids = pc.fill_null(row.values, -1).to_numpy(zero_copy_only=False)
-                out.append(v.decode_bytes(ids[(ids >= 0) & (ids < len(v.lengths))]).tobytes().decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            good = (ids >= 0) & (ids < len(v.lengths))
+            ids = np.where(good, ids, 0)
+            size = np.where(good, v.lengths[ids], 0)
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+            data = v.bytes[spread(v.starts[ids], size)].tobytes()
+            yield pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string(), mask=np.asarray(lists.is_null()))
 
     return of(tokens)
 
@@ -235,7 +284,7 @@ def tokenize(docs: DataFrame, keep: list[str], text: str = "text", path: str = V
         for texts in batches:
             parts = []
             for _, part in slices(texts, SLICE):
-                tokens, n = v.encode(part.to_pylist())
+                tokens, n = v.encode(part)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 data, byte_offsets = raw_bytes(part)
                 size = v.lengths[tokens]

@@ -17,13 +17,15 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
-def sizes(uri: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(URI, bytes) of the file, or of all files below the folder with one of the suffixes, in order of their names."""
+def sizes(uri: str, suffixes: tuple[str, ...], missing: bool = False) -> list[tuple[str, int]]:
+    """(URI, bytes) of the file, or of all files below the folder with one of the suffixes, in order of their names; none for a folder that may be ``missing``."""
     system, path = resolve(uri)
     info = system.get_file_info(path)
     if info.type == fs.FileType.File:
         return [(uri, info.size)]
     if info.type == fs.FileType.NotFound:
+        if missing:
+            return []
         raise FileNotFoundError(uri)
     base = uri.rstrip("/")
     found = system.get_file_info(fs.FileSelector(path, recursive=True))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from onomast.llm import bpe, langid, mixing, quality, simhash, urls, warc
+from onomast.llm import bpe, langid, mixing, quality, simhash, token_files, training_order, urls, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_mixing": mixing.query,
     "op4_bpe": bpe.query,
     "op5_langid": langid.query,
+    "op6_training_order": training_order.query,
     "op7_warc": warc.query,
+    "op8_token_counts": token_files.query,
     "op9_urls": urls.query,
     "op10_quality": quality.query,
 }
