@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from onomast.llm import bpe, langid, mixing, quality, simhash, token_files, training_order, urls, warc
+from onomast.llm import bpe, langid, media, mixing, quality, simhash, token_files, training_order, urls, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_media": media.query,
     "op3_mixing": mixing.query,
     "op4_bpe": bpe.query,
     "op5_langid": langid.query,
