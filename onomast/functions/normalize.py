@@ -6,7 +6,7 @@ code generation; regular expressions are Java's.  Null in gives null out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -23,15 +23,19 @@ _ROMAN = "|".join(words.ROMAN)
 _ENDS_ROMAN = rf"^((?:(?>{_ROMAN})|(?!{_ROMAN}).)+)((?>{_ROMAN}))$"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def tokens(name: Column, pattern: str = " ") -> Column:
     """The parts between blanks; trailing empty ones are left out."""
-    parts = F.split(F.regexp_replace(name, f"(?:{pattern})+$", ""), pattern)
-    return F.when(F.regexp_replace(name, f"(?:{pattern})+$", "") == "", F.array().cast("array<string>")).otherwise(parts)
+    return let(F.regexp_replace(name, f"(?:{pattern})+$", ""), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, pattern)))
 
 
 def drop_stop_words(parts: Column, stop: Sequence[str] = tuple(words.STOP)) -> Column:
     """Tokens but the stop words, by case; a single token stays whatever it is."""
-    return F.when(F.size(parts) == 1, parts).otherwise(F.filter(parts, lambda t: ~t.isin(list(stop))))
+    return let(parts, lambda p: F.when(F.size(p) == 1, p).otherwise(F.filter(p, lambda t: ~t.isin(list(stop)))))
 
 
 def plain_token(token: Column) -> Column:
@@ -52,7 +56,7 @@ def split_changes(name: Column) -> Column:
 def small_romans(parts: Column) -> Column:
     """I to IV as digits, where there is more than one token."""
     digit = lambda t: F.when(t == "I", "1").when(t == "II", "2").when(t == "III", "3").when(t == "IV", "4").otherwise(t)
-    return F.when(F.size(parts) > 1, F.transform(parts, digit)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.size(p) > 1, F.transform(p, digit)).otherwise(p))
 
 
 @cache
@@ -163,8 +167,8 @@ def _one_of(listed: Sequence[str]) -> str:
 def is_unspecified(name: Column, listed: Sequence[str] = tuple(words.UNSPECIFIED)) -> Column:
     """Whether a name is one of the listed ones, or that with e, s or es after it: a look-up of four stems, whatever the list's length."""
     known = F.array(*[F.lit(x) for x in sorted(set(listed))])
-    stems = [name, *[F.when(name.endswith(e), F.substring(name, F.lit(1), F.length(name) - len(e))) for e in ("e", "s", "es")]]
-    return F.coalesce(F.exists(F.array(*stems), lambda s: F.coalesce(F.array_contains(known, F.coalesce(s, F.lit("\0"))), F.lit(False))), F.lit(False))
+    stems = lambda n: F.array(n, *[F.when(n.endswith(e), F.substring(n, F.lit(1), F.length(n) - len(e))) for e in ("e", "s", "es")])
+    return F.exists(F.array(name), lambda n: F.exists(stems(n), lambda s: F.array_contains(known, F.coalesce(s, F.lit("\0")))))
 
 
 def is_family(name: Column) -> Column:
@@ -176,12 +180,12 @@ def is_trailing_non_descriptive(name: Column) -> Column:
 
 
 def remove_unspecified(name: Column, listed: Sequence[str] = tuple(words.UNSPECIFIED)) -> Column:
-    return F.trim(F.when(is_unspecified(name, listed), "").otherwise(name))
+    return let(name, lambda n: F.when(is_unspecified(n, listed), "").otherwise(F.trim(n)))
 
 
 def remove_family(name: Column) -> Column:
     """A family's name is removed whole."""
-    return F.trim(F.when(is_family(name), "").otherwise(name))
+    return F.trim(F.regexp_replace(name, words.FAMILY_REGEX + "$", ""))
 
 
 def remove_premodifier(name: Column, listed: Sequence[str] = tuple(words.PREMODIFIERS)) -> Column:
@@ -189,7 +193,7 @@ def remove_premodifier(name: Column, listed: Sequence[str] = tuple(words.PREMODI
 
 
 def remove_trailing(name: Column) -> Column:
-    return F.trim(F.when(is_trailing_non_descriptive(name), F.regexp_replace(name, f"{words.TRAILING_REGEX}$", "")).otherwise(name))
+    return F.trim(F.regexp_replace(name, rf"^(?=.* {words.TRAILING_REGEX}$)(.*?){words.TRAILING_REGEX}$", "$1"))
 
 
 def remove_modifiers(name: Column, unspecified: Sequence[str] = tuple(words.UNSPECIFIED), premodifiers: Sequence[str] = tuple(words.PREMODIFIERS)) -> Column:

@@ -1,6 +1,9 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""All queries of the core by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from onomast.plans import etl_queries, retrieval_queries
+
+_MODULES = [etl_queries, retrieval_queries]
+QUERIES = {name: of for m in _MODULES for name, of in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
