@@ -18,15 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm import files
 from onomast.llm.shared import new_folder, remove
-from onomast.llm.vec import SortedHashArray, code_points, slices
+from onomast.llm.vec import SortedHashArray, as_array, code_points, slices
 
 BOS = 1
+#: A task gives out the distinct n-grams of a class when it holds this many; Spark adds them up.
+HELD = 1_000_000
+#: Characters of one text that are handled at a time.
+WINDOW = 1 << 20
 
 
 def bits_of(order: int) -> int:
@@ -34,24 +39,45 @@ def bits_of(order: int) -> int:
 
 
 def symbols(cps: np.ndarray, bits: int) -> np.ndarray:
-    """Characters as numbers below 2**bits: themselves where they fit, else one of 256 shared ones."""
-    top = (1 << bits) - 256
-    return np.where(cps < top, np.maximum(cps, 3), top + (cps & 255)).astype(np.uint64)
+    """Characters as numbers below 2**bits: themselves in the lower half, the others hashed into the upper half."""
+    top = 1 << (bits - 1)
+    return np.where(cps < top, np.maximum(cps, 3), top + ((cps * np.uint32(2654435769)) >> np.uint32(33 - bits))).astype(np.uint64)
+
+
+def windows(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, packed n-grams that end at each character, how many of each row): slices of texts, and stretches of long ones."""
+    texts = as_array(texts)
+    pad = order - 1
+    for first, part in slices(texts):
+        if len(part) > 1 or (pc.binary_length(part)[0].as_py() or 0) <= WINDOW:
+            keys, n = ngram_keys(part, order)
+            yield np.arange(first, first + len(part)), keys, n
+            continue
+        cps, _ = code_points(part)
+        for a in range(0, len(cps), WINDOW):
+            start = max(0, a - pad)
+            own = cps[start : a + WINDOW]
+            keys = _keys(own, np.array([len(own)]), order, BOS)[a - start :]
+            yield np.array([first]), keys, np.array([len(keys)])
 
 
 def ngram_keys(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed n-gram that ends at each character of all texts, and how many each text has."""
-    bits = bits_of(order)
     cps, offsets = code_points(texts)
     lengths = np.diff(offsets)
+    return _keys(cps, lengths, order, BOS), lengths
+
+
+def _keys(cps: np.ndarray, lengths: np.ndarray, order: int, fill: int) -> np.ndarray:
+    bits = bits_of(order)
     pad = order - 1
-    padded = np.full(len(cps) + pad * len(lengths), BOS, np.uint64)
+    padded = np.full(len(cps) + pad * len(lengths), fill, np.uint64)
     at = np.arange(len(cps)) + np.repeat(pad * np.arange(1, len(lengths) + 1), lengths)
     padded[at] = symbols(cps, bits)
     keys = np.zeros(max(0, len(padded) - pad), np.uint64)
     for j in range(order):
         keys |= padded[pad - j : len(padded) - j] << np.uint64(bits * j)
-    return keys[at - pad], lengths
+    return keys[at - pad]
 
 
 def _count(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +98,33 @@ def count_ngrams(df: DataFrame, text: Column, label: Column, order: int) -> Data
     rows = df.select(label.cast("string").alias("label"), text.alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[str, list] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def folded(name: str) -> Iterator[pa.RecordBatch]:
+            """Fold what is held of a class, and give it out if that is much."""
+            parts = held[name]
+            held[name] = [_count(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))] if len(parts) > 1 else parts
+            if len(held[name][0][0]) > HELD:
+                yield from given(name)
 
-        def fold(name: str) -> None:
-            parts = held.pop(name, [])
-            if parts:
-                old = [have[name]] if name in have else []
-                have[name] = _count(np.concatenate([k for k, _ in old + parts]), np.concatenate([n for _, n in old + parts]))
+        def given(name: str) -> Iterator[pa.RecordBatch]:
+            for k, n in held.pop(name):
+                for a in range(0, len(k), 100_000):
+                    part = k[a : a + 100_000]
+                    yield pa.record_batch({"label": pa.array([name] * len(part)), "gram": pa.array(part.astype(np.int64)), "n": pa.array(n[a : a + 100_000].astype(np.int64))})
 
         for batch in batches:
             labels = batch.column(0).dictionary_encode()
             codes = labels.indices.to_numpy(zero_copy_only=False)
             for i, name in enumerate(labels.dictionary.to_pylist()):
-                for _, texts in slices(batch.column(1).take(pa.array(np.flatnonzero(codes == i)))):
-                    held.setdefault(name, []).append(np.unique(ngram_keys(texts, order)[0], return_counts=True))
-                    if sum(len(k) for k, _ in held[name]) > 2_000_000:
-                        fold(name)
+                for _, keys, _ in windows(batch.column(1).take(pa.array(np.flatnonzero(codes == i))), order):
+                    held.setdefault(name, []).append(np.unique(keys, return_counts=True))
+                    if sum(len(k) for k, _ in held[name]) > 1.5 * HELD:
+                        yield from folded(name)
         for name in list(held):
-            fold(name)
-        for name, (k, n) in have.items():
-            for a in range(0, len(k), 100_000):
-                part = k[a : a + 100_000]
-                yield pa.record_batch({"label": pa.array([name] * len(part)), "gram": pa.array(part.astype(np.int64)), "n": pa.array(n[a : a + 100_000].astype(np.int64))})
+            yield from folded(name)
+            if name in held:
+                yield from given(name)
 
     return rows.mapInArrow(counted, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
@@ -144,7 +174,7 @@ def _discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
 class NgramModel:
     """A character model of one class: ``log_probability(keys)`` of packed n-grams."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, smoothing: str = "kn", alphabet: int = 1024):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, smoothing: str = "kn"):
         """``smoothing``: "kn" (one discount), "mkn" (modified: three discounts) or "wb" (Witten-Bell on raw counts)."""
         bits = bits_of(order)
         self.order, self.bits = order, np.uint64(bits)
@@ -153,7 +183,7 @@ class NgramModel:
             keys, n = levels[0]
             levels.insert(0, _count(keys & np.uint64((1 << bits * k) - 1), n if smoothing == "wb" else np.ones(len(n))))
         self.find_gram, self.log_p, self.find_context, self.log_left = [], [], [], []
-        self.base = 1.0 / alphabet
+        self.base = 1.0 / (1 << bits)  # each symbol, seen or not
         shorter = None
         for k, (keys, n) in enumerate(levels, 1):
             context, which = np.unique(keys >> self.bits, return_inverse=True)
@@ -216,10 +246,9 @@ def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | N
     groups = [(None, np.arange(len(texts)))] if which is None else [(m, np.flatnonzero(which == m)) for m in np.unique(which[which >= 0])]
     for m, rows in groups:
         own = texts if m is None else texts.take(pa.array(rows))
-        for first, part in slices(own):
-            keys, n = ngram_keys(part, models[0].order)
-            at = rows[first : first + len(part)]
-            lengths[at] = n
+        for part, keys, n in windows(own, models[0].order):
+            at = rows[part]
+            lengths[at] += n
             distinct, back = np.unique(keys, return_inverse=True)
             ends = np.cumsum(n)
             if low:
@@ -228,5 +257,5 @@ def text_scores(texts: pa.Array, models: list[NgramModel], which: np.ndarray | N
                 found = [(j, model.log_probability(distinct))] + ([(width + j, sum(model.log_probability(short, k) for k in range(1, low + 1))[again])] if low else [])
                 for column, of_key in found:
                     values = np.concatenate([[0.0], np.cumsum(of_key[back])])
-                    sums[at, column] = values[ends] - values[ends - n]
+                    sums[at, column] += values[ends] - values[ends - n]
     return sums, lengths

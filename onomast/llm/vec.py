@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at a time, which bounds the memory of the arrays derived from them.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 
