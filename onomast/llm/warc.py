@@ -1,7 +1,10 @@
 """WARC as a PySpark data source, and a writer.
 
-``spark.read.format("warc").load(folder)`` plans partitions of whole files, or
-of byte ranges of files that are compressed record by record.  Predicates on
+``spark.read.format("warc").load(folder)`` plans a partition for each file.
+Larger files are read in parallel by an exact index: :func:`plan_splits` walks
+each file once, without keeping payloads, and notes where records start, so a
+compressed or plain WARC file that is itself a payload is never taken for
+records of the outer one.  Predicates on
 the record's type and on its other named headers are pushed into the reader:
 it parses a record's headers first, and only where they pass does it keep,
 split and decode the payload; other payloads are skipped over (by seeking in
@@ -10,6 +13,7 @@ plain files, by inflating without keeping anything in compressed ones).
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -242,18 +246,15 @@ class Split(ds.InputPartition):
 
 
 def records(path: str, start: int, end: int, packed: bool, filters: list[ds.Filter], payload: bool = True) -> Iterator[dict]:
-    """The records that start in [start, end) and pass ``filters``.
+    """The records that start in [start, end) and pass ``filters``; a record starts at ``start``.
 
-    A damaged stretch is skipped up to the next record; a record that the
-    file's end cuts off is left out.
+    A damaged stretch of a compressed file is skipped up to what looks like
+    the next record; a record that the file's end cuts off is left out.
     """
     f = open_read(path)
     with f:
         at: int | None = start
         while at is not None and at < end:
-            if packed and not (at == 0 or _is_member(f, at)):
-                at = _first_member(f, at, end)
-                continue
             stream = _Bytes(f, at, packed)
             try:
                 yield from _walk(stream, path, end, filters, payload)
@@ -299,7 +300,7 @@ def _walk(stream: _Bytes, path: str, end: int, filters: list[ds.Filter], payload
 class WarcReader(ds.DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.filters = options["path"], []
-        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
+        self.splits = json.loads(options["splits"]) if options.get("splits") else None
         self.payload = str(options.get("payload", "true")).lower() != "false"
 
     def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
@@ -310,11 +311,8 @@ class WarcReader(ds.DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Split]:
-        out = []
-        for path, size in sizes(self.path, (".warc", ".warc.gz")):
-            packed = path.endswith(".gz")
-            step = self.split if packed else max(1, size)
-            out += [Split(path, a, min(size, a + step), packed) for a in range(0, size, step)]
+        found = self.splits if self.splits is not None else [(path, 0, size) for path, size in sizes(self.path, (".warc", ".warc.gz"))]
+        out = [Split(path, a, b, path.endswith(".gz")) for path, a, b in found]
         return out or [Split("", 0, 0, False)]  # Spark reads one partition where none are planned
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
@@ -343,7 +341,26 @@ class WarcSource(ds.DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, uri: str, payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def plan_splits(spark: SparkSession, uri: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int, int]]:
+    """(file, start, end) stretches of about ``split_bytes`` that start where a record does, for :func:`read_warc`: some for each file, however many records it has."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                starts = [0]
+                for row in records(path, 0, size, path.endswith(".gz"), [], False):
+                    if row["offset"] - starts[-1] >= split_bytes:
+                        starts.append(row["offset"])
+                yield pa.record_batch({"path": pa.array([path] * len(starts)), "start": pa.array(starts, pa.int64()), "end": pa.array([*starts[1:], size], pa.int64())})
+
+    found = sizes(uri, (".warc", ".warc.gz"))
+    if not found:
+        return []
+    files = spark.createDataFrame(found, "path string, size bigint").repartition(len(found))
+    return sorted(tuple(r) for r in files.mapInArrow(walk, "path string, start bigint, end bigint").collect())
+
+
+def read_warc(spark: SparkSession, uri: str, payload: bool = True, splits: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """The records of a file or folder of .warc and .warc.gz files.
 
     Columns: path, offset (of the record, or of the compressed member that
@@ -351,11 +368,15 @@ def read_warc(spark: SparkSession, uri: str, payload: bool = True, split_bytes:
     content_length, headers, http_status, http_headers, payload (an HTTP
     message's decoded body, else the block; null with ``payload=False``).  A
     header that a record lacks is null.  Repeated records are all returned; a
-    folder without such files gives an empty table.
+    folder without such files gives an empty table.  A file is read by one
+    task unless ``splits`` has been planned; a record is held whole by the
+    task that reads it.  Turns the session's filter pushdown for Python
+    sources on, without which predicates are applied after reading.
     """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).option("splitBytes", split_bytes).load(uri)
+    reader = spark.read.format("warc").option("payload", str(payload).lower())
+    return (reader if splits is None else reader.option("splits", json.dumps(splits))).load(uri)
 
 
 # Writing
