@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from onomast.llm import bpe
 from onomast.llm.files import open_read, open_write, sizes
 from onomast.llm.shared import cut, new_folder, remove, written
 from onomast.llm.token_files import END, WIDTH, with_ends
-from onomast.llm.vec import mix64, slices
+from onomast.llm.vec import mix64, slices, trimmed
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 2048, 8192
@@ -91,7 +92,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str = bpe.VOCABULARY, end:
             return pa.record_batch({"part": pa.array(np.full(n, part, np.int32)), "place": pa.array(np.arange(place, place + n)), "n_tokens": pa.array(filled.astype(np.int32)), "doc_ids": lists, "tokens": flat})
 
         owner, null, size = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for first, texts in slices(batch.column(1), bpe.SLICE):
                 tokens, n = v.encode(texts)
                 who = batch.column(0).slice(first, len(texts))
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str = bpe.VOCABULARY, end:
             yield out(np.concatenate([rest, np.full(length - len(rest), end, kind)]), owner, null, size)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(packed, "part int, place bigint, n_tokens int, doc_ids array<bigint>, tokens binary"), "packed")
+    return written(rows.mapInArrow(packed, "part int, place bigint, n_tokens int, doc_ids array<bigint>, tokens binary"), "packed", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"})
 
 
 def materialise(docs: DataFrame, uri: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = bpe.VOCABULARY, end: int = END, width: str = WIDTH) -> DataFrame:
@@ -141,10 +142,12 @@ def materialise(docs: DataFrame, uri: str, key: int = KEY, length: int = LENGTH,
     base[[r["part"] for r in parts]] = before[:-1]
     order = Permutation(total, key)
 
-    @F.arrow_udf("bigint")
-    def slot(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for part, place in batches:
-            yield pa.array(order.slot(base[part.to_numpy()] + place.to_numpy()))
+    @F.arrow_udf("struct<slot:bigint,packed:binary>")
+    def placed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        pack_ = zstandard.ZstdCompressor(level=6).compress
+        for part, place, tokens in trimmed(batches):
+            slots = order.slot(base[part.to_numpy()] + place.to_numpy())
+            yield pa.StructArray.from_arrays([pa.array(slots), pa.array([pack_(x.as_buffer()) for x in tokens], pa.binary())], names=["slot", "packed"])
 
     there = dict(sizes(uri, (".tokens",), missing=True))
 
@@ -156,9 +159,10 @@ def materialise(docs: DataFrame, uri: str, key: int = KEY, length: int = LENGTH,
             name = f"{uri.rstrip('/')}/{shard_name(number)}"
             if there.get(name) != rows.num_rows * stride:
                 with open_write(name) as f:
-                    for chunk in rows.column("tokens").chunks:
+                    unpack = zstandard.ZstdDecompressor().decompress
+                    for chunk in rows.column("packed").chunks:
                         for x in chunk:
-                            f.write(x.as_buffer())
+                            f.write(unpack(x.as_buffer()))
             slots = rows.column("slot").to_numpy()
             return pa.record_batch({"slot": pa.array(slots), "shard": pa.array(np.full(len(slots), number)), "offset": pa.array(slots % per_shard * stride), "n_tokens": rows.column("n_tokens").combine_chunks(), "doc_ids": rows.column("doc_ids").combine_chunks()})
 
@@ -175,8 +179,8 @@ def materialise(docs: DataFrame, uri: str, key: int = KEY, length: int = LENGTH,
             yield shard(pa.Table.from_batches(held))
 
     shards = max(1, -(-total // per_shard))
-    placed = table.withColumn("slot", slot("part", "place")).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    ranges = placed.select("slot", "shard", "n_tokens", "doc_ids", "tokens").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    found = table.select("n_tokens", "doc_ids", placed("part", "place", "tokens").alias("p")).select("p.slot", F.expr(f"p.slot div {per_shard}").alias("shard"), "n_tokens", "doc_ids", "p.packed")
+    ranges = found.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
     done = cut(ranges.mapInArrow(write, "slot bigint, shard bigint, offset bigint, n_tokens int, doc_ids array<bigint>"))
     remove(spark, table_uri)
     return done
