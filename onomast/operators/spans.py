@@ -8,7 +8,9 @@ doesn't compare all with all in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import bisect
+import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -158,24 +160,27 @@ def longest_first(mentions: DataFrame, order: str) -> DataFrame:
     In the order of ``order`` each is compared with the kept one that begins
     last at or before it, else with the first kept one after it; on overlap
     the strictly longer one stays.  So, as is known of this rule, overlaps may
-    be left.  It depends on the order, hence runs document by document.
+    be left.  It depends on the order, hence runs document by document, in
+    memory: some 100 bytes for each mention of the longest.
     """
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[tuple[int, int], int] = {}
         rows = rows.sort_values(order, kind="stable")
-        for i, (a, b) in enumerate(zip(rows["begin"], rows["end"])):
-            if (a, b) in kept:
+        spans: list[tuple[int, int]] = []  # kept, sorted
+        index: dict[tuple[int, int], int] = {}
+        for i, span in enumerate(zip(rows["begin"].tolist(), rows["end"].tolist())):
+            if span in index:
                 continue
-            spans = sorted(kept)
-            before = [s for s in spans if s[0] <= a]
-            other = before[-1] if before else spans[0] if spans else None
-            if other is None or other[1] < a or other[0] > b:
-                kept[(a, b)] = i
-            elif b - a > other[1] - other[0]:
-                del kept[other]
-                kept[(a, b)] = i
-        return rows.iloc[sorted(kept.values())]
+            at = bisect.bisect_right(spans, (span[0], math.inf))
+            other = spans[at - 1] if at else spans[0] if spans else None
+            if other is not None and other[1] >= span[0] and other[0] <= span[1]:
+                if span[1] - span[0] <= other[1] - other[0]:
+                    continue
+                del index[other]
+                spans.remove(other)
+            bisect.insort(spans, span)
+            index[span] = i
+        return rows.iloc[sorted(index.values())]
 
     return mentions.groupBy("doc_id").applyInPandas(greedy, mentions.schema)
 
@@ -227,7 +232,7 @@ def acronym_links(mentions: DataFrame, acronyms: DataFrame) -> DataFrame:
     return pairs.select(short.doc_id, F.col("begin").alias("a"), F.col("l_begin").alias("b")).distinct()
 
 
-def components(edges: DataFrame, key: Sequence[str] = ("doc_id",), rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(key, node, component) of all nodes of (key, a, b): the least node that is connected.
 
     Labels pass along edges and jump to their labels' labels, each round from
@@ -239,15 +244,14 @@ def components(edges: DataFrame, key: Sequence[str] = ("doc_id",), rounds: int =
         spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     both = edges.select(*k, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")).distinct().checkpoint()
     labels = both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         of = labels.select(*k, F.col("node").alias("b"), F.col("component").alias("_c"))
         near = both.join(of, [*k, "b"]).groupBy(*k, F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
         jump = labels.select(*k, F.col("node").alias("component"), F.col("component").alias("_jump"))
         new = labels.join(near, [*k, "node"]).join(jump, [*k, "component"], "left").select(*k, "node", "component", F.least("component", "_near", "_jump").alias("new")).checkpoint()
         labels = new.select(*k, "node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def checkpoint_folder(spark) -> str:
