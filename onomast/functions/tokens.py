@@ -43,6 +43,11 @@ def without(parts: Column, stop: Sequence[str]) -> Column:
     return F.filter(parts, lambda t: ~t.isin(list(stop)))
 
 
+def new_types(stems: Column, text: Column) -> Column:
+    """Of a context's stems those that aren't part of its text as they are, each once, in the order of first use."""
+    return F.filter(F.array_distinct(stems), lambda s: ~F.contains(text, s))
+
+
 def window_around(parts: Column, position: Column, width: int = 50) -> Column:
     """``width`` tokens from half of it before the one at ``position`` (from 1) on."""
     return F.slice(parts, F.greatest(position - width // 2, F.lit(1)), F.lit(width))

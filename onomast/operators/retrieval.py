@@ -181,6 +181,33 @@ def contexts_of(ids: DataFrame, items: DataFrame, field: str | None = None) -> D
     return rows.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def best_contexts(queries: DataFrame, hits: DataFrame, documents: DataFrame, least: float = 0.0, separate: bool = False) -> DataFrame:
+    """(query_id, synonym, id, score): of the candidates (query_id, synonym, id) of each query the one whose context is most relevant; with ``separate`` the best for each synonym."""
+    scores = context_or(queries, documents, least, hits.select("query_id", "id").distinct(), top=1_000_000_000)
+    order = Window.partitionBy("query_id", *(["synonym"] if separate else [])).orderBy(F.desc("score"), "id", "synonym")
+    found = hits.select("query_id", "synonym", "id").distinct().join(scores, ["query_id", "id"])
+    return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query_id", "synonym", "id", "score")
+
+
+def ordered_hits(hits: DataFrame, by: str = "score", seed: int = 0) -> DataFrame:
+    """Hits of each form with their place: by score, by semantic_score, both descending, or at random but repeatably; then by synonym."""
+    if by not in ("score", "semantic_score", "random"):
+        raise ValueError("by must be score, semantic_score or random")
+    first = F.xxhash64(F.lit(seed), "form", "synonym") if by == "random" else F.desc_nulls_last(by)
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("form").orderBy(first, "synonym")))
+
+
+#: Ways to map mentions, by the name that a configuration gives.
+CORES = {"default": map_mentions}
+
+
+def mapping_core(name: str = "default"):
+    """A way to map mentions by its name; add to CORES to configure others."""
+    if name not in CORES:
+        raise ValueError(f"no mapping core is called {name}")
+    return CORES[name]
+
+
 # Look-ups
 
 
