@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from onomast.functions import normalize as N
 from onomast.functions import rules
 from onomast.operators.index import token_weights
+from onomast.operators.tables import cut
 
 PERFECT = 9999.0
 TOP = 20
@@ -125,7 +126,7 @@ def disambiguated(best: DataFrame, entries: DataFrame, items: DataFrame) -> Data
     """
     first = best.groupBy("form").agg(F.min(F.struct("synonym", "score", "tax")).alias("s")).select("form", "s.*")
     own = entries.groupBy("synonym", "tax", "id").agg(F.min("priority").alias("priority"))
-    ids = first.join(own, ["synonym", "tax"]).withColumn("_n", F.count("*").over(Window.partitionBy("form")))
+    ids = cut(first.join(own, ["synonym", "tax"]).withColumn("_n", F.count("*").over(Window.partitionBy("form"))))
     context = phrase_scores(ids.where("_n > 1"), items).withColumnRenamed("score", "semantic_score")
     ranked = ids.join(context, ["synonym", "id"], "left")
     order = F.struct((-F.coalesce("semantic_score", F.lit(0.0))).alias("s"), "priority", "id")

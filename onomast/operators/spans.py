@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onomast.operators.tables import cut
+
 #: Positions of a stretch.
 WIDTH = 256
 
@@ -239,31 +241,18 @@ def components(edges: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     a checkpoint, until none changes: some log2 of the longest path.
     """
     k = list(key)
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    both = edges.select(*k, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")).distinct().checkpoint()
-    labels = both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    both = cut(edges.select(*k, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")).distinct())
+    labels = cut(both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         of = labels.select(*k, F.col("node").alias("b"), F.col("component").alias("_c"))
         near = both.join(of, [*k, "b"]).groupBy(*k, F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
         jump = labels.select(*k, F.col("node").alias("component"), F.col("component").alias("_jump"))
-        new = labels.join(near, [*k, "node"]).join(jump, [*k, "component"], "left").select(*k, "node", "component", F.least("component", "_near", "_jump").alias("new")).checkpoint()
+        new = cut(labels.join(near, [*k, "node"]).join(jump, [*k, "component"], "left").select(*k, "node", "component", F.least("component", "_near", "_jump").alias("new")))
         labels = new.select(*k, "node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return labels
 
 
-def checkpoint_folder(spark) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only on a local master without it."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found or tempfile.mkdtemp(prefix="onomast-")
-
-
 def coreferent(mentions: DataFrame, acronyms: DataFrame) -> DataFrame:
     """Mentions with set_id: connected by equal text or through acronyms."""
     named = same_name(mentions)
