@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm import files
-from onomast.llm.shared import new_folder, remove
-from onomast.llm.vec import SortedHashArray, as_array, code_points, slices
+from onomast.llm.shared import new_folder, remove, small_batches
+from onomast.llm.vec import SortedHashArray, as_array, code_points, slices, trimmed
 
 BOS = 1
 #: A task gives out the distinct n-grams of a class when it holds this many; Spark adds them up.
-HELD = 1_000_000
+HELD = 600_000
 #: Characters of one text that are handled at a time.
 WINDOW = 1 << 20
 
@@ -113,7 +113,7 @@ def count_ngrams(df: DataFrame, text: Column, label: Column, order: int) -> Data
                     part = k[a : a + 100_000]
                     yield pa.record_batch({"label": pa.array([name] * len(part)), "gram": pa.array(part.astype(np.int64)), "n": pa.array(n[a : a + 100_000].astype(np.int64))})
 
-        for batch in batches:
+        for batch in trimmed(batches):
             labels = batch.column(0).dictionary_encode()
             codes = labels.indices.to_numpy(zero_copy_only=False)
             for i, name in enumerate(labels.dictionary.to_pylist()):
@@ -138,7 +138,8 @@ def collect_counts(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]
     """
     spark = counts.sparkSession
     folder = new_folder(spark, "ngrams")
-    counts.write.parquet(folder)
+    with small_batches(spark):
+        counts.write.parquet(folder)
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for path, _ in files.sizes(folder, (".parquet",)):
         with files.open_read(path) as f:
@@ -202,12 +203,16 @@ class NgramModel:
             else:
                 lower = np.exp(shorter[1][shorter[0].find(keys & np.uint64((1 << bits * (k - 1)) - 1))])
             log_p = np.log(p + left[which] * lower)
-            table = SortedHashArray(keys)
+            table, contexts = SortedHashArray(keys), SortedHashArray(context)
             self.find_gram.append(table)
-            self.log_p.append(log_p)
-            self.find_context.append(SortedHashArray(context))
-            self.log_left.append(np.log(np.maximum(left, 1e-12)))
+            self.log_p.append(table.arrange(log_p).astype(np.float32))
+            self.find_context.append(contexts)
+            self.log_left.append(contexts.arrange(np.log(np.maximum(left, 1e-12))).astype(np.float32))
+            contexts.forget_order()
+            if shorter:
+                shorter[0].forget_order()
             shorter = (table, log_p)
+        shorter[0].forget_order()
 
     def log_probability(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
         """Natural log of P(last character | the characters before it, at most ``order`` - 1 of them) for each packed n-gram."""
@@ -215,13 +220,13 @@ class NgramModel:
         todo, at = np.arange(len(keys)), np.asarray(keys, np.uint64)
         for k in range(order or self.order, 0, -1):
             at = at & np.uint64((1 << int(self.bits) * k) - 1)
-            row = self.find_gram[k - 1].find(at)
+            row = self.find_gram[k - 1].find(at, arranged=True)
             seen = row >= 0
             out[todo[seen]] += self.log_p[k - 1][row[seen]]
             todo, at = todo[~seen], at[~seen]
             if not len(todo):
                 return out
-            row = self.find_context[k - 1].find(at >> self.bits)
+            row = self.find_context[k - 1].find(at >> self.bits, arranged=True)
             known = row >= 0
             out[todo[known]] += self.log_left[k - 1][row[known]]
         out[todo] += np.log(self.base)

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import bands, kneser_ney
 from onomast.llm.shared import cut
+from onomast.llm.vec import trimmed
 
 ORDER = 4
 #: Characters whose joint probability a minority of texts with a wrong label hardly moves.
@@ -19,7 +21,7 @@ LOW = 2
 MAX_DEVIATIONS = 6.0
 
 
-def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], text: str = "text", half: str = "half", prefix: str = "") -> DataFrame:
+def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], text: str = "text", half: str = "half", prefix: str = "") -> tuple[DataFrame, Broadcast]:
     """``docs`` with label (of the lowest length-normalised cross-entropy), score (nats a character), runner (the second's score), low (nats of LOW characters together, by the label's model), n (characters).
 
     ``models`` are named half + language; a text is scored by those that
@@ -27,6 +29,7 @@ def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], t
     half only can't be chosen by texts of that half.  Of two languages with
     the same score the alphabetically first is taken.  Null and empty texts,
     and texts that no model may score, have null label and score.  Columns are named ``prefix`` + name.
+    With it the models as sent to the tasks, to be destroyed when it has been worked out.
     """
     names = [sorted(k[1:] for k in models if k[0] == str(1 - i)) for i in (0, 1)]
     sent = docs.sparkSession.sparkContext.broadcast([[models[f"{1 - i}{k}"] for k in names[i]] for i in (0, 1)])
@@ -34,7 +37,7 @@ def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], t
 
     @F.arrow_udf(kind)
     def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, halves in batches:
+        for texts, halves in trimmed(batches):
             side = halves.to_numpy(zero_copy_only=False)
             label = np.full(len(texts), None, object)
             values, n = np.zeros((3, len(texts))), np.zeros(len(texts), np.int64)
@@ -53,7 +56,7 @@ def score_languages(docs: DataFrame, models: dict[str, kneser_ney.NgramModel], t
 
     found = prefix + "found"
     out = docs.withColumn(found, best(F.lower(F.col(text)), F.col(half)))
-    return out.select(*docs.columns, *[F.col(f"{found}.{k}").alias(prefix + k) for k in ("label", "score", "runner", "low", "n")])
+    return out.select(*docs.columns, *[F.col(f"{found}.{k}").alias(prefix + k) for k in ("label", "score", "runner", "low", "n")]), sent
 
 
 def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviations: float = MAX_DEVIATIONS, prefix: str = "") -> DataFrame:
@@ -87,7 +90,9 @@ def identify(docs: DataFrame, keep: list[str], order: int = ORDER, max_deviation
         none = [F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)]
         return docs.select(*keep, *[c.alias(prefix + k) for c, k in zip(none, names)])
     has = docs.select(*keep, F.col("text").alias(inner + "text"), half.alias(inner + "half"), F.xxhash64(text).alias(inner + "hash"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(inner + "letters"))
-    scored = cut(score_languages(has, models, inner + "text", inner + "half", inner).withColumn(inner + "group", F.concat(F.col(inner + "half").cast("string"), F.col(inner + "label"))).drop(inner + "text", inner + "half"))
+    each, sent = score_languages(has, models, inner + "text", inner + "half", inner)
+    scored = cut(each.withColumn(inner + "group", F.concat(F.col(inner + "half").cast("string"), F.col(inner + "label"))).drop(inner + "text", inner + "half"))
+    sent.destroy()
     once = cut(scored.where(inner + "letters").select(*[inner + k for k in ("group", "score", "low", "n", "hash")]).dropDuplicates([inner + "hash"]))
     z, z_low = (bands.deviations(bands.calibrate(once, inner + "group", inner + k, inner + "n"), inner + "group", inner + k, inner + "n") for k in ("score", "low"))
     good = F.col(inner + "letters")

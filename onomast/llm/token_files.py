@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from onomast.llm import bpe
 from onomast.llm.files import open_read, open_write, sizes
 from onomast.llm.shared import cut, new_folder
-from onomast.llm.vec import as_array, slices
+from onomast.llm.vec import as_array, slices, trimmed
 
 #: End of document in the 50k vocabularies: the one id that they leave free.
 END = 50_256
@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text: str =
         if first is None:
             return
         with open_write(f"{uri}/{name}") as f:
-            for batch in itertools.chain([first], batches):
+            for batch in trimmed(itertools.chain([first], batches)):
                 for _, part in slices(batch.column(1), bpe.SLICE):
                     tokens, n = v.encode(as_array(part))
                     f.write(with_ends(tokens, n, end, width).tobytes())

@@ -6,7 +6,8 @@ word or per character.  A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches; after each one, memory that it no longer needs goes back to the system, as workers live on between tasks."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if _libc:
+            _libc.malloc_trim(0)
+
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -127,7 +142,15 @@ class SortedHashArray:
         self.shift = _U(64 - bits)
         self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(self.order.dtype)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def arrange(self, values: np.ndarray) -> np.ndarray:
+        """Values, one for each key, in the order of the hashes, for ``find(keys, arranged=True)``."""
+        return values[self.order]
+
+    def forget_order(self) -> None:
+        """Only arranged values will be used."""
+        self.order = None
+
+    def find(self, keys: np.ndarray, arranged: bool = False) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
         if not len(self.hashes) or not len(keys):
             return out
@@ -139,7 +162,7 @@ class SortedHashArray:
             there = self.hashes[at[todo]]
             want = h[todo]
             hit = there == want
-            out[todo[hit]] = self.order[at[todo[hit]]]
+            out[todo[hit]] = at[todo[hit]] if arranged else self.order[at[todo[hit]]]
             at[todo] += 1
             todo = todo[(there < want) & (at[todo] < end[todo])]
         return out
