@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from onomast.functions import tokens as T
 from onomast.functions import words
-from onomast.functions.normalize import tokens
+from onomast.functions.normalize import let, tokens
 
 NUMBER, SYMBOL = "^[0-9]+$", f"^(?:[a-zA-Z]|[0-9]+|{words.GREEK_REGEX})$"
 SPECIAL = f"^(?:{words.GREEK_REGEX}|{words.MODIFIER_REGEX}|{words.NON_DESCRIPTIVE_REGEX}|)$"
@@ -141,16 +141,14 @@ def ids_of(entries: Column, tax: Column) -> Column:
 
 def priorities_of(entries: Column, ids: Column) -> Column:
     """Priorities of the ids given."""
-    return F.transform(F.filter(entries, lambda e: F.array_contains(ids, e["id"])), lambda e: e["priority"])
+    return let(ids, lambda known: F.transform(F.filter(entries, lambda e: F.array_contains(known, e["id"])), lambda e: e["priority"]))
 
 
 def restrict_to_tax(entries: Column, tax: Column) -> Column:
     """The last entry's id of a taxon; null if it has none."""
-    own = F.filter(entries, lambda e: e["tax"] == tax)
-    return F.when(F.size(own) > 0, F.element_at(own, -1)["id"])
+    return let(F.filter(entries, lambda e: e["tax"] == tax), lambda own: F.when(F.size(own) > 0, F.element_at(own, -1)["id"]))
 
 
 def id_in_tax(entries: Column, tax: Column) -> Column:
     """The id of a taxon if it is the only one."""
-    own = ids_of(entries, tax)
-    return F.when(F.size(own) == 1, F.get(own, F.lit(0)))
+    return let(ids_of(entries, tax), lambda own: F.when(F.size(own) == 1, F.get(own, F.lit(0))))

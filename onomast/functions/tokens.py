@@ -61,8 +61,8 @@ def char_window(text: Column, begin: Column, width: int = 50) -> Column:
 
 def counts(parts: Column) -> Column:
     """Tokens with their numbers, as a map."""
-    kinds = F.array_distinct(parts)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(parts, lambda t: t == k))))
+    own = lambda p: F.transform(F.array_distinct(p), lambda k: F.struct(k, F.size(F.filter(p, lambda t: t == k))))
+    return F.map_from_entries(F.get(F.transform(F.array(parts), own), F.lit(0)))
 
 
 def common_size(a: Column, b: Column) -> Column:
