@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm.vec import SortedHashArray, raw_bytes, slices
+from onomast.llm.shared import limit_batches
+from onomast.llm.vec import SortedHashArray, raw_bytes, slices, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,7 +33,7 @@ NONE = np.int64(1 << 40)
 #: Pieces of more bytes than this are merged with a queue, whose time doesn't grow with the square of the length.
 LONG_PIECE = 256
 #: Text bytes encoded together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class Vocabulary:
@@ -49,11 +51,23 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, rank = (np.array(x, np.int64) for x in zip(*pairs))
+        left, right, rank = (array("q") for _ in range(3))  # no tuples: every worker builds this at once
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    rank.append(r)
+        left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
         self.table = SortedHashArray((left << 32 | right).astype(np.uint64))
         self.pair_rank = np.concatenate([rank, [NONE]])
-        self.pairs = {(a, b): r for a, b, r in pairs}
+        self.merges = left, right, rank
+
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Rank by pair, for long pieces only."""
+        return {(a, b): r for a, b, r in zip(*(x.tolist() for x in self.merges))}
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge; NONE where there is none."""
@@ -238,7 +252,7 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
     @F.arrow_udf("array<int>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
-        for texts in batches:
+        for texts in trimmed(batches):
             parts = []
             for _, part in slices(texts, SLICE):
                 tokens, n = v.encode(part)
@@ -275,13 +289,16 @@ def tokenize(docs: DataFrame, keep: list[str], text: str = "text", path: str = V
     no tokens and a true round_trip.  Repeated rows are encoded one by one; an
     empty table gives an empty result.  Whole texts are encoded, however long;
     special tokens are never produced.  Added columns are named ``prefix`` + name.
+    The result is lazy, so the session's limit of rows that go to Python at a
+    time is lowered for good.
     """
+    limit_batches(docs.sparkSession)
     kind = "struct<tokens:array<int>,round_trip:boolean>"
 
     @F.arrow_udf(kind)
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
-        for texts in batches:
+        for texts in trimmed(batches):
             parts = []
             for _, part in slices(texts, SLICE):
                 tokens, n = v.encode(part)

@@ -11,7 +11,9 @@ from pyarrow import fs
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI or a plain path, and the path in it."""
+    """The file system of a URI or a plain path, and the path in it; Hadoop's names for S3 are understood."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     if "://" in uri or uri.startswith("file:"):
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri

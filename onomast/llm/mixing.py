@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.shared import cut
+from onomast.llm.bloom import packed, unpacked
+from onomast.llm.shared import cut, limit_batches
 
 #: 2**32 times the golden ratio's fraction: slot t is at the point t * GOLDEN mod 2**32.
 GOLDEN = 2654435769
@@ -153,7 +154,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Files and the rows in them are in the order of slots, so the next stage
     encodes the training order.  A document is found again by its id and
-    digest and, where rows repeat, by its turn among them.
+    digest and, where rows repeat, by its turn among them.  Texts are
+    compressed while they are shuffled.
     """
     placed, slots, total = _placed(docs, BLOCK_TOKENS, SEED, None, POWER)
     names = ["_mix_id", "_mix_null", "_mix_digest", "_mix_turn"]
@@ -161,7 +163,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy(*names[:3]).orderBy(F.lit(1)))
     at = placed.select(*keys(F.col("digest")), F.col("source").alias("source"), F.least(F.floor(F.col("place") / BLOCK_TOKENS), F.col("last")).alias("block"), F.col("place").alias("_mix_place"))
     at = at.withColumn("_mix_turn", turn).join(slots, ["source", "block"]).select(*names, F.col("slot").alias("_mix_slot"), "_mix_place")
-    whole = docs.select(*keys(F.xxhash64("text")), F.struct(*docs.columns).alias("_mix_row")).withColumn("_mix_turn", turn)
+    limit_batches(spark)
+    rest = F.struct(F.lit(0).alias("_mix_none"), *[c for c in docs.columns if c != "text"]).alias("_mix_row")
+    whole = docs.select(*keys(F.xxhash64("text")), rest, packed(F.col("text")).alias("_mix_text")).withColumn("_mix_turn", turn)
     parts = max(1, min(total // 64 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = whole.join(at, names).withColumn("_mix_part", F.expr(f"cast(_mix_slot * {parts} div {max(1, total)} as int)"))
-    return found.repartitionById(parts, F.col("_mix_part")).sortWithinPartitions("_mix_slot", "_mix_place", "_mix_id").select("_mix_row.*")
+    return found.repartitionById(parts, F.col("_mix_part")).sortWithinPartitions("_mix_slot", "_mix_place", "_mix_id").select(*[unpacked(F.col("_mix_text")).alias("text") if c == "text" else F.col("_mix_row")[c].alias(c) for c in docs.columns])
