@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Letters of the Greek alphabet, by name.
-GREEK = sorted("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split())
+GREEK = "alpha beta chi delta epsilon eta gamma iota kappa lambda mu nu omega omicron phi pi psi rho sigma tau theta upsilon xi zeta".split()
 #: What a single letter stands for: the first Greek letter with that initial.
 GREEK_OF = {x[0]: x for x in reversed(GREEK)} | {"o": "omicron", "p": "pi", "t": "theta"}
 #: Words split off compounds besides Greek letters.
