@@ -32,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NONE = np.int64(1 << 40)
 #: Pieces of more bytes than this are merged with a queue, whose time doesn't grow with the square of the length.
 LONG_PIECE = 256
-#: Text bytes encoded together.
-SLICE = 1 << 20
+#: Text bytes encoded together: more share more pieces, and take more memory, of which the pipeline's stage has less.
+SLICE, STAGE_SLICE = 4 << 20, 1 << 20
 
 
 class Vocabulary:
@@ -282,7 +282,7 @@ def decode(tokens: Column, path: str = VOCABULARY) -> Column:
     return of(tokens)
 
 
-def tokenize(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY, prefix: str = "") -> DataFrame:
+def tokenize(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY, prefix: str = "", slice_bytes: int = SLICE) -> DataFrame:
     """The columns ``keep`` of ``docs`` with tokens (array<int>), n_tokens, and round_trip: the tokens decode to the text's very bytes.
 
     A null text has null tokens, 0 n_tokens and null round_trip; an empty one
@@ -300,7 +300,7 @@ def tokenize(docs: DataFrame, keep: list[str], text: str = "text", path: str = V
         v = vocabulary(path)
         for texts in trimmed(batches):
             parts = []
-            for _, part in slices(texts, SLICE):
+            for _, part in slices(texts, slice_bytes):
                 tokens, n = v.encode(part)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 data, byte_offsets = raw_bytes(part)
@@ -330,4 +330,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: doc_id, source, tokens, n_tokens, round_trip."""
-    return tokenize(docs, [c for c in ("doc_id", "lang", "source") if c in docs.columns])
+    return tokenize(docs, [c for c in ("doc_id", "lang", "source") if c in docs.columns], slice_bytes=STAGE_SLICE)
