@@ -1,28 +1,27 @@
-"""SimHash near-duplicates through deletion-variant signatures.
+"""SimHash near-duplicates: every pair of signatures up to the greatest distance is found.
 
 A signature has 256 bits and is cut into twelve segments of 21 or 22 bits.  Of
-two signatures that differ in at most 23 bits, one segment differs in at most
-one bit, since twelve segments with two differences each would make 24.  Each
-segment is indexed by its variants with one bit wild; signatures that share a
-variant meet in an equality join and are verified by their whole distance.
-
-If a segment differs in at most one bit, one of its halves doesn't differ at
-all.  So a signature is sent to two tasks for each segment, by either half,
-and the variants of the other half are made, sorted and joined there: 24 small
-rows a distinct signature are shuffled, however many variants there are.
-
-Every pair up to distance 23 is found.  Pairs up to MAX_DISTANCE are verified
-too and found where some segment differs by at most one bit: at 28 bits for
-0.99 of pairs, at 32 for 0.97, at 36 for 0.94 (bits that differ at random).
-
-A bucket of near copies of one text isn't expanded into pairs: only links that
-connect its members are made, so a group that holds a third of all rows costs
-time in proportion to its size.  Two texts of one bucket that no link connects
-are always compared, so no connection is lost.
+two signatures that differ in at most 36 bits, either the first segment
+differs in at most three bits or another in at most two, since four and eleven
+times three would make 37.
+
+If a segment differs in at most two bits, one of its thirds doesn't differ at
+all (one of its quarters, if in three).  So a signature is sent to three or
+four tasks for each segment, by the value of one such piece, and there the
+values of the rest of the segment that differ in few enough bits are looked
+up: 37 small rows a distinct signature are shuffled.  Signatures whose segments
+are that close are verified by their whole distance.
+
+Near copies of one text aren't expanded into pairs: signatures with one value
+of a segment are connected first, and what is connected goes on as one node.
+Two nodes that no link connects are passed over only if their first members
+are too far apart for any two of their members to be within the limit, so no
+connection is lost.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +40,21 @@ WORDS, SEGMENT_BITS = 4, (22, 21, 21)
 MAX_DISTANCE = 36
 #: Text bytes signed at a time; a longer text is taken in pieces.
 SLICE = 256 << 10
-#: Rows joined at a time, if no group of one half is larger.
+#: Rows joined at a time, if no group of one piece is larger.
 ROWS = 50_000
-#: Signatures that share a variant are compared pair by pair up to this many, else through pivots.
+#: Signatures that share a value are compared pair by pair up to this many, else through pivots.
 SHORT_RUN = 64
+#: Values looked up, and nodes compared, at a time.
+LOOKUPS, PAIRS = 1 << 17, 1 << 18
 
 _U = np.uint64
 _LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], _U)
 #: (word, first bit, bits) of each segment.
 SEGMENTS = [(w, sum(SEGMENT_BITS[:i]), n) for w in range(WORDS) for i, n in enumerate(SEGMENT_BITS)]
+#: Bits in which a segment may differ, such that of two signatures within MAX_DISTANCE one segment differs in no more.
+RADII = [MAX_DISTANCE // len(SEGMENTS) - (i > MAX_DISTANCE % len(SEGMENTS)) for i in range(len(SEGMENTS))]
+#: (segment, first bit in it, bits) of each piece by which signatures are sent: one more for a segment than bits may differ.
+PIECES = [(i, n * k // (r + 1), n * (k + 1) // (r + 1) - n * k // (r + 1)) for i, ((_, _, n), r) in enumerate(zip(SEGMENTS, RADII)) for k in range(r + 1)]
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -137,14 +142,17 @@ def signature(text: Column) -> Column:
     return of(F.lower(text))
 
 
+def _segment(sig: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a piece, and of the rest of its segment."""
+    i, at, bits = PIECES[piece]
+    word, start, n = SEGMENTS[i]
+    value = (sig[:, word] >> _U(start) & _U((1 << n) - 1)).astype(np.int64)
+    return value >> at & (1 << bits) - 1, value & (1 << at) - 1 | value >> at + bits << at
+
+
 def routes(sig: np.ndarray) -> np.ndarray:
-    """(24, signatures): the segment, the half and the value of the half by which each is sent."""
-    out = []
-    for i, (word, at, n) in enumerate(SEGMENTS):
-        value = sig[:, word] >> _U(at) & _U((1 << n) - 1)
-        low = n // 2
-        out += [(value & _U((1 << low) - 1)).astype(np.int64) | 2 * i << 16, (value >> _U(low)).astype(np.int64) | 2 * i + 1 << 16]
-    return np.stack(out)
+    """(37, signatures): the piece, and its value, by which each is sent."""
+    return np.stack([_segment(sig, p)[0] | p << 16 for p in range(len(PIECES))])
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,45 +195,110 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _run_links(key: np.ndarray, sig: np.ndarray, limit: int, pivots: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among the rows of equal sorted keys that connect all whom pairs within ``limit`` connect; without ``pivots`` of short runs only."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    length = np.diff(edge)
+    if pivots:
+        for i in np.flatnonzero(length > SHORT_RUN):
+            yield from _pivot_links(sig, np.arange(edge[i], edge[i + 1]), limit)
+    at_rows = np.flatnonzero(np.repeat(length <= SHORT_RUN, length))
+    key = key[at_rows]
+    for d in range(1, min(SHORT_RUN, len(key))):
+        pair = np.flatnonzero(key[d:] == key[:-d])
+        if not len(pair):
+            break
+        a, b = at_rows[pair], at_rows[pair + d]
+        close = distances(sig[a], sig[b]) <= limit
+        yield a[close], b[close]
+
+
+@functools.cache
+def _masks(bits: int, most: int) -> np.ndarray:
+    """All values of 1 to ``most`` ones."""
+    x = np.arange(1, 1 << bits, dtype=np.int32)
+    return x[np.bitwise_count(x) <= most]
+
+
+def _value_links(value: np.ndarray, bits: int, most: int, sig: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all whom pairs within ``limit`` connect whose sorted values, of ``bits`` bits, differ in at most ``most``."""
+    first, second = (np.concatenate(x) for x in zip((value[:0], value[:0]), *_run_links(value, sig, limit)))
+    yield first, second
+    # a node: rows of one value that are connected; its head is the first of them
+    root = components(len(sig), first, second)
+    rows = np.argsort(root, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], root[rows][1:] != root[rows][:-1]]))
+    size = np.diff(np.concatenate([begin, [len(rows)]]))
+    head = rows[begin]
+    reach = np.maximum.reduceat(distances(sig[rows], sig[root[rows]]), begin)
+    value = value[head].astype(np.int32)
+    words = [np.ascontiguousarray(sig[head, w]) for w in range(WORDS)]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))])
+    some_have = upto[1:] > upto[:-1]
+    label, masks = np.arange(len(head)), _masks(bits, most)
+    step = max(1, LOOKUPS // len(masks))
+    for i in range(0, len(head), step):
+        other = value[i : i + step, None] ^ masks
+        hit = np.flatnonzero(some_have[other] & (other > value[i : i + step, None]))
+        node, other = hit // len(masks) + i, other.ravel()[hit]
+        n = upto[other + 1] - upto[other]
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+            k = n[part]
+            a = np.repeat(node[part], k)
+            b = np.arange(len(a)) + np.repeat(upto[other[part]] - (np.cumsum(k) - k), k)
+            far = np.zeros(len(a), np.int64)
+            for j, w in enumerate(words):
+                far += np.bitwise_count(w[a] ^ w[b])
+                if j & 1:
+                    left = np.flatnonzero((far <= limit + reach[a] + reach[b]) & (label[a] != label[b]))
+                    a, b, far = a[left], b[left], far[left]
+            close = far <= limit
+            if close.any():
+                yield head[a[close]], head[b[close]]
+                some, at = np.unique(np.concatenate([label[a[close]], label[b[close]]]), return_inverse=True)
+                to = np.arange(len(label))
+                to[some] = some[components(len(some), at[: close.sum()], at[close.sum() :])]
+                label = to[label]
+            for a_, b_ in zip(a[~close], b[~close]):  # heads too far apart, but perhaps not all members
+                if label[a_] == label[b_]:
+                    continue
+                x, y = (rows[begin[v] : begin[v] + size[v]] for v in (a_, b_))
+                if len(x) > len(y):
+                    x, y = y, x
+                for v in x:
+                    hit = y[distances(sig[v], sig[y]) <= limit]
+                    if len(hit):
+                        yield np.array([v]), hit[:1]
+                        label[label == label[b_]] = label[a_]
+                        break
+
+
 def local_links(route: np.ndarray, sig: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(root, member) stars that connect the signatures which share a route and a one-wildcard variant of the segment's other half, and are within ``limit``."""
-    index = np.arange(len(sig))
-    half = route >> 16
-    first, second = [index[:0]], [index[:0]]
-    for h in np.unique(half):
-        word, at, n = SEGMENTS[h >> 1]
-        rows = index[half == h]
-        low = n // 2
-        start, bits = (at + low, n - low) if h & 1 == 0 else (at, low)
-        other = (sig[rows, word] >> _U(start) & _U((1 << bits) - 1)).astype(np.int64)
-        same = (route[rows] & 0xFFFF) << 16
-        for p in range(bits):
-            key = same | (other & ~(1 << p))
-            order = np.argsort(key, kind="stable")
-            key, at_rows = key[order], rows[order]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            length = np.diff(edge)
-            for i in np.flatnonzero(length > SHORT_RUN):
-                for a, b in _pivot_links(sig, at_rows[edge[i] : edge[i + 1]], limit):
-                    first.append(a)
-                    second.append(b)
-            short = np.repeat(length <= SHORT_RUN, length)
-            key, at_rows = key[short], at_rows[short]
-            for d in range(1, min(SHORT_RUN, len(key))):
-                pair = np.flatnonzero(key[d:] == key[:-d])
-                if not len(pair):
-                    break
-                a, b = at_rows[pair], at_rows[pair + d]
-                close = distances(sig[a], sig[b]) <= limit
-                first.append(a[close])
-                second.append(b[close])
+    """(root, member) stars that connect the signatures which share a route, whose segments differ in no more bits than its radius allows, and are within ``limit``."""
+    order = np.argsort(route, kind="stable")
+    key, own = route[order], sig[order]
+    first, second = [order[:0]], [order[:0]]
+    for a, b in _run_links(key, own, limit, pivots=False):
+        first.append(order[a])
+        second.append(order[b])
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for i in np.flatnonzero(np.diff(edge) > SHORT_RUN):
+        piece = int(key[edge[i]]) >> 16
+        segment, _, bits = PIECES[piece]
+        rows = order[edge[i] : edge[i + 1]]
+        value = _segment(sig[rows], piece)[1]
+        by = np.argsort(value, kind="stable")
+        rows = rows[by]
+        for a, b in _value_links(value[by], SEGMENTS[segment][2] - bits, RADII[segment], sig[rows], limit):
+            first.append(rows[a])
+            second.append(rows[b])
     root = components(len(sig), np.concatenate(first), np.concatenate(second))
-    member = np.flatnonzero(root != index)
+    member = np.flatnonzero(root != np.arange(len(sig)))
     return root[member], member
 
 
 def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) pairs of the distinct signatures (sig): they connect exactly those that candidate pairs within ``max_distance`` connect."""
+    """(a, b) pairs of the distinct signatures (sig): they connect exactly those that pairs within ``max_distance``, MAX_DISTANCE at most, connect."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):

@@ -86,3 +86,34 @@ def test_group_copies_edge_cases(spark):
     assert sorted(map(str, left)) == sorted(map(str, [1, 3, 3, 4, 5, 7, None]))
     assert simhash.stage(spark, df, "").columns == df.columns
     assert simhash.group_copies(df.limit(0)).count() == 0
+
+
+def test_every_pair_up_to_the_limit_is_found():
+    """Also where the bits that differ are spread evenly, two or three to a segment."""
+    rng = random.Random(5)
+    first = [64 * w + at for w, at, _ in simhash.SEGMENTS]
+    for distance in (24, 30, 36):
+        for _ in range(50):
+            a = rng.getrandbits(256)
+            even = sum(1 << at + i for k, (at, (_, _, n)) in enumerate(zip(first, simhash.SEGMENTS)) for i in rng.sample(range(n), distance // 12 + (k < distance % 12)))
+            for b in (a ^ even, near(rng, a, distance)):
+                sig = as_rows([a, b])
+                assert any(len(simhash.local_links(w, sig, 36)[0]) for w in simhash.routes(sig) if w[0] == w[1])
+
+
+def test_large_groups_are_those_of_all_pairs(monkeypatch):
+    """Values looked up, pivots and nodes of several members: components as by brute force, with pairs on both sides of the limit."""
+    rng = random.Random(6)
+    values = []
+    for _ in range(25):
+        base = rng.getrandbits(256)
+        values += [near(rng, base, rng.randint(5, 30)) for _ in range(40)] + [near(rng, base, 3) for _ in range(20)]
+        values += [near(rng, values[-1], k) for k in (34, 35, 36, 37, 38)]
+    sig = as_rows(list(dict.fromkeys(values)))
+    far = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+    for short, pairs in ((3, 1 << 18), (64, 16)):
+        monkeypatch.setattr(simhash, "SHORT_RUN", short)
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        links = [simhash.local_links(w, sig, 36) for w in simhash.routes(sig)]
+        found = simhash.components(len(sig), *(np.concatenate(x) for x in zip(*links)))
+        assert (found == simhash.components(len(sig), *np.nonzero(far <= 36))).all()
