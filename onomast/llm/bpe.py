@@ -196,10 +196,13 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 def _classes() -> np.ndarray:
     """The class of every code point, as the pattern sees it."""
     out = np.zeros(0x110000, np.uint8)
-    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "?" for i in range(0x110000))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    cps = np.arange(0x110000, dtype=np.uint32)
+    cps[0xD800:0xE000] = ord("?")
+    for a in range(0, len(cps), 1 << 16):  # no object for each code point: every worker builds this at once
+        part = cps[a : a + (1 << 16)].tobytes().decode("utf-32-le")
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, part):
+                out[a + m.start() : a + m.end()] = kind
     return out
 
 

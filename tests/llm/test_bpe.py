@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,14 @@ def test_bpe_round_trip_and_edge_cases(spark):
     odd = spark.createDataFrame([([1, None, 60_000, -4, 2],), (None,), ([],)], "t array<int>").select(bpe.decode(F.col("t")).alias("x")).collect()
     v = bpe.vocabulary(bpe.VOCABULARY)
     assert [r.x for r in odd] == [v.decode_bytes(np.array([1, 2])).tobytes().decode(), None, ""]
+
+
+def test_classes_are_built_in_little_memory():
+    """Every worker of an executor builds them at once; an object for each code point took some 90 MB."""
+    tracemalloc.start()
+    found = bpe._classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    for kind, pattern in ((bpe.LETTER, r"\p{L}"), (bpe.NUMBER, r"\p{N}"), (bpe.SPACE, r"\s")):
+        assert all((found[i] == kind) == bool(regex.fullmatch(pattern, chr(i))) for i in range(0, 0x30000) if not 0xD800 <= i < 0xE000)
