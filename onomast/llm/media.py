@@ -8,22 +8,30 @@ two that differ in at most three bits share a key, and of those that differ in
 more most do.  Two pictures are linked if enough of their matching corners
 agree on one turn, scale and shift; links make the groups.
 
-A descriptor that very many pictures have isn't expanded into all their pairs:
-up to SMALL members are compared with each other, of more each is compared with
-the LEADERS of least id.  A group of copies that holds a third of all rows so
-costs time in proportion to its size, and stays connected through its leaders.
+This first look needn't find every link.  A descriptor that very many pictures
+have isn't expanded into all their pairs: up to SMALL members are compared with
+each other, of more each is compared with the LEADERS of least id.  A group of
+copies that holds a third of all rows so costs time in proportion to its size.
+
+Then all pictures of different groups are compared, block by block: two
+descriptors within MAX_BITS share one of MAX_BITS + 1 pieces, so those that
+share one are compared, and no link that joins two groups is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.shared import cut
+from onomast.llm import files
+from onomast.llm.shared import cut, remove, written
 from onomast.llm.simhash import connected
 from onomast.llm.vec import mix64, raw_bytes, trimmed
 
@@ -38,6 +46,10 @@ SMALL, LEADERS = 8, 4
 SHORT_RUN = 32
 #: Pixels described at a time.
 PIXELS = 1 << 19
+#: Corners of a block, descriptors compared and matching corners held at a time.
+BLOCK, COMPARED, HELD = 1 << 17, 1 << 17, 1 << 22
+#: (word, first bit, bits) of the pieces of a descriptor, one more than bits may differ.
+PIECES = [(w, 64 * i // n, 64 * (i + 1) // n - 64 * i // n) for w, n in enumerate((MAX_BITS // 2 + 1, MAX_BITS - MAX_BITS // 2)) for i in range(n)]
 
 _rng = np.random.default_rng(128)
 
@@ -210,12 +222,162 @@ def near_descriptors(heads: DataFrame) -> DataFrame:
     return rows.repartition(F.xxhash64(part, F.col("table"))).mapInArrow(find, "a bigint, b bigint, pa bigint, pb bigint")
 
 
+class _Block:
+    """Pictures with their corners, and the distinct descriptors of each of their groups."""
+
+    def __init__(self, group: np.ndarray, media: np.ndarray, ends: np.ndarray, place: np.ndarray, d: np.ndarray):
+        self.group, self.media, self.ends, self.place, self.d = group, media, ends, place, d
+        self.picture = np.repeat(np.arange(len(media)), np.diff(ends))
+        own = group[self.picture]
+        self.order = np.lexsort((d[:, 1], d[:, 0], own))
+        g, x = own[self.order], d[self.order]
+        self.begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]).any(axis=1)])[: len(g)])
+        self.count = np.diff(np.concatenate([self.begin, [len(g)]]))
+        self.of, self.word = g[self.begin], np.ascontiguousarray(x[self.begin].T)
+
+    def part(self, a: int, b: int) -> _Block:
+        s, e = self.ends[a], self.ends[b]
+        return _Block(self.group[a:b], self.media[a:b], self.ends[a : b + 1] - s, self.place[s:e], self.d[s:e])
+
+    def by(self, piece: int) -> tuple[np.ndarray, np.ndarray]:
+        """Descriptors in order of one piece, and where each of its values begins."""
+        word, at, bits = PIECES[piece]
+        value = (self.word[word] >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        return np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))])
+
+
+def _matches(x: _Block, y: _Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of descriptors of different groups that differ in at most MAX_BITS, each once (once for each order, within one block)."""
+    for piece in range(len(PIECES)):
+        (ox, ex), (oy, ey) = x.by(piece), y.by(piece)
+        wx, wy = x.word[:, ox], y.word[:, oy]
+        for v in np.flatnonzero((np.diff(ex) > 0) & (np.diff(ey) > 0)):
+            b, e = ey[v], ey[v + 1]
+            step = max(1, COMPARED // int(e - b))
+            for a in range(ex[v], ex[v + 1], step):
+                z = min(a + step, ex[v + 1])
+                far = np.bitwise_count(wx[0, a:z, None] ^ wy[0, b:e])
+                far += np.bitwise_count(wx[1, a:z, None] ^ wy[1, b:e])
+                hit = np.flatnonzero(far <= MAX_BITS)
+                i, j = ox[a + hit // (e - b)], oy[b + hit % (e - b)]
+                ok = x.of[i] != y.of[j]
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                other = x.word[:, i] ^ y.word[:, j]
+                ok = np.ones(len(i), bool)
+                for word, at, bits in PIECES[:piece]:  # found by these already
+                    ok &= other[word] >> np.uint64(at) & np.uint64((1 << bits) - 1) != 0
+                yield i[ok], j[ok]
+
+
+def _find(label: dict[int, int], x: int) -> int:
+    while (to := label.get(x, x)) != x:
+        label[x] = label.get(to, to)
+        x = to
+    return x
+
+
+def _block_links(x: _Block, y: _Block, label: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links between pictures of two blocks (or of one) that connect all groups which any two of their pictures connect; ``label`` has what is connected already."""
+    one = x is y
+    if not len(x.of) or not len(y.of) or len(np.unique(np.concatenate([x.group, y.group]))) < 2:
+        return
+    left, right, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for i, j in _matches(x, y):
+        # all corners that have the two descriptors
+        n = x.count[i] * y.count[j]
+        held += int(n.sum())
+        if held > HELD and max(len(x.media), len(y.media)) > 1:  # smaller blocks, with nothing left out
+            if one:
+                half = len(x.media) // 2
+                first, second = x.part(0, half), x.part(half, len(x.media))
+                parts = [(first, first), (first, second), (second, second)]
+            elif len(x.media) >= len(y.media):
+                parts = [(x.part(0, len(x.media) // 2), y), (x.part(len(x.media) // 2, len(x.media)), y)]
+            else:
+                parts = [(x, y.part(0, len(y.media) // 2)), (x, y.part(len(y.media) // 2, len(y.media)))]
+            for a, b in parts:
+                yield from _block_links(a, b, label)
+            return
+        at = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        p, q = x.order[x.begin[i][at] + k // y.count[j][at]], y.order[y.begin[j][at] + k % y.count[j][at]]
+        if one:
+            some = p < q
+            p, q = p[some], q[some]
+        left.append(p.astype(np.int32))
+        right.append(q.astype(np.int32))
+    p, q = np.concatenate(left), np.concatenate(right)
+    # enough matches of one size for any to agree
+    size = (y.place[q] >> 8 & 255) - (x.place[p] >> 8 & 255) + SCALES
+    key = (x.picture[p] * len(y.media) + y.picture[q]) * (2 * SCALES) + size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    for i in np.flatnonzero(np.diff(edge) >= AGREE):
+        some = order[edge[i] : edge[i + 1]]
+        a, b = x.picture[p[some[0]]], y.picture[q[some[0]]]
+        g, h = _find(label, int(x.group[a])), _find(label, int(y.group[b]))
+        if g != h and linked(x.place[p[some]], y.place[q[some]]):
+            label[max(g, h)] = min(g, h)
+            yield int(x.media[a]), int(y.media[b])
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether enough matches between places of two pictures agree, seen from either."""
+    turn = (b & 255) - (a & 255)
+    if (np.abs((turn[:, None] - turn + TURNS // 2) % TURNS - TURNS // 2) < 2.5).sum(axis=1).max() < AGREE:
+        return False
+    return consensus(a, b) >= AGREE or consensus(b, a) >= AGREE
+
+
+def links_between(pictures: DataFrame) -> DataFrame:
+    """(a, b): links between pictures (root, media, corners) of different roots, which connect exactly what any two of the pictures connect.
+
+    The pictures are written in order of their roots, in blocks of about BLOCK
+    corners, and each task reads two of the blocks and compares all their
+    descriptors: nothing is shuffled for it.
+    """
+    spark = pictures.sparkSession
+    n, corners = pictures.agg(F.count("*"), F.sum(F.size("corners"))).first()
+    if not n:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    blocks = -(-corners // BLOCK)
+    table, uri = written(pictures.select("root", "media", "corners").repartitionByRange(blocks, "root", "media").sortWithinPartitions("root", "media"), "blocks")
+    names = [name for name, _ in files.sizes(uri, (".parquet",))]
+
+    def read(name: str) -> _Block:
+        with files.open_read(name) as f:
+            t = pq.read_table(f, columns=["root", "media", "corners"]).combine_chunks()
+        lists = pa.concat_arrays(t["corners"].chunks) if t.num_rows else pa.array([], t["corners"].type)
+        items = lists.flatten()
+        place, d0, d1 = (items.field(k).to_numpy() for k in ("place", "d0", "d1"))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        return _Block(t["root"].to_numpy(), t["media"].to_numpy(), ends, place, np.stack([d0, d1], axis=1).view(np.uint64))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                j = (math.isqrt(8 * k + 1) - 1) // 2
+                y = read(names[j])
+                x = y if k - j * (j + 1) // 2 == j else read(names[k - j * (j + 1) // 2])
+                found = list(_block_links(x, y, {}))
+                yield pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    pairs = len(names) * (len(names) + 1) // 2
+    out = cut(spark.range(0, pairs, 1, min(pairs, 10_000)).mapInArrow(find, "a bigint, b bigint"))
+    remove(spark, uri)
+    return out
+
+
 def group_pictures(media: DataFrame, id_col: str = "media_id", pixels: str = "pixels", height: str = "height", width: str = "width") -> DataFrame:
-    """(media_id, group_id, group_size, n_links, kept) of every row of a table of grey pictures, one byte a pixel.
+    """(media_id, group_id, group_size, kept) of every row of a table of grey pictures, one byte a pixel.
 
-    ``group_id`` is the least id among the copies of a picture, whose row is
-    kept (one of them, if that id is repeated); ``n_links`` counts the
-    different pictures to which this one was compared and found linked.
+    Two pictures are linked if AGREE of their corners whose descriptors differ
+    in at most MAX_BITS agree (seen from either); groups are what any links
+    connect, none is left out.  ``group_id`` is the least id among the copies
+    of a picture, whose row is kept (one of them, if that id is repeated).
     Pictures with the same bytes, height and width are one from the start.  A
     picture without corners, a null one, and one whose bytes don't fit its
     size form groups of their own, but for the same bytes; a null picture is
@@ -237,17 +399,19 @@ def group_pictures(media: DataFrame, id_col: str = "media_id", pixels: str = "pi
 
     blob, h, w = F.col(pixels), F.col(height).cast("int"), F.col(width).cast("int")
     digest = F.when(blob.isNotNull(), F.sha2(F.concat(blob, F.encode(F.format_string(":%s:%s", h, w), "UTF-8")), 256))
-    rows = cut(media.select(F.col(id_col).cast("bigint").alias("media_id"), F.monotonically_increasing_id().alias("row"), digest.alias("digest"), corners_of(blob, h, w).alias("corners")))
+    rows, uri = written(media.select(F.col(id_col).cast("bigint").alias("media_id"), F.monotonically_increasing_id().alias("row"), digest.alias("digest"), corners_of(blob, h, w).alias("corners")))
     # a picture's number is the row that stands for all with the same bytes
     first = F.min(F.struct(F.col("media_id").isNull().alias("none"), "media_id", "row"))
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"), F.first("corners").alias("corners"))
     classes = cut(classes.select("digest", "first", "n", F.col("first.row").alias("media"), "corners"))
+    rows = cut(rows.drop("corners"))
+    remove(media.sparkSession, uri)
     each = classes.select("media", F.inline("corners")).select("media", "place", "d0", "d1")
     # equal descriptors: ranks within each; up to SMALL all pairs, beyond with the leaders
     of = Window.partitionBy("d0", "d1").orderBy("media", "place")
     leaders = each.withColumn("r", F.row_number().over(of)).where(f"r <= {SMALL}")
     sizes_ = each.groupBy("d0", "d1").agg(F.count("*").alias("size"))
-    heads = cut(leaders.join(sizes_, ["d0", "d1"]))
+    heads, uri = written(leaders.join(sizes_, ["d0", "d1"]))
     small = heads.where(f"size > 1 AND (size <= {SMALL} OR r <= {LEADERS})").select("d0", "d1", F.col("media").alias("a"), F.col("place").alias("pa"))
     same = each.join(small, ["d0", "d1"]).where("a < media").select("a", F.col("media").alias("b"), "pa", F.col("place").alias("pb"))
     near = near_descriptors(heads.where("r = 1").select("d0", "d1", "media", "place"))
@@ -261,14 +425,19 @@ def group_pictures(media: DataFrame, id_col: str = "media_id", pixels: str = "pi
 
     votes = same.unionByName(near).groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")).where(F.size("places") >= AGREE)
     links = cut(votes.where(agree(F.col("places")) >= AGREE).select("a", "b"))
+    remove(media.sparkSession, uri)
     roots = connected(links)
-    member = classes.select("digest", "first", "n", "media").join(roots, F.col("media") == F.col("node"), "left").withColumn("root", F.coalesce("root", "media"))
+    # these connect most; what they leave apart is compared corner by corner
+    of_root = lambda roots: classes.join(roots, F.col("media") == F.col("node"), "left").withColumn("root", F.coalesce("root", "media"))
+    found = links_between(of_root(roots).where(F.size("corners") >= AGREE))
+    if not found.isEmpty():
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    member = of_root(roots).select("digest", "first", "n", "media", "root")
     groups = member.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("group_size"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("media")).groupBy("media").agg(F.count("*").alias("n_links"))
-    of_class = member.join(groups, "root").join(degree, "media", "left").select("digest", F.col("best.media_id").alias("group_id"), F.col("best.row").alias("best"), "group_size", "n_links")
+    of_class = member.join(groups, "root").select("digest", F.col("best.media_id").alias("group_id"), F.col("best.row").alias("best"), "group_size")
     alone = F.col("best").isNull()
     return rows.join(of_class, "digest", "left").select(
-        "media_id", F.when(alone, F.col("media_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "media_id", F.when(alone, F.col("media_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (alone | (F.col("row") == F.col("best"))).alias("kept"),
     )
 
@@ -331,5 +500,5 @@ def pictures(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of copies among the pictures drawn for all pages: media_id, group_id, group_size, n_links, kept."""
+    """Groups of copies among the pictures drawn for all pages: media_id, group_id, group_size, kept."""
     return group_pictures(pictures(spark.read.parquet(f"{sf_dir}/pages.parquet")))

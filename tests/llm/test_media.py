@@ -59,6 +59,52 @@ def test_groups_against_all_pairs(spark):
         assert {r.group_size for r in own} == {len(own)} and [r.media_id for r in own if r.kept] == [g]
 
 
+def either(a, b):
+    return linked(a, b) or linked(b, a)
+
+
+def test_no_link_between_groups_is_left_out(spark):
+    """The groups are exactly those of brute force: noisy and repainted copies, of which a few meet in no table, under labels that all share."""
+    rng = np.random.default_rng(5)
+    images = []
+    for image, label in zip(media.drawn(np.arange(40, 52)), np.arange(12)):
+        for k in range(8):
+            x = np.clip(image.astype(np.int32) + rng.integers(-24 - k, 25 + k, image.shape), 0, 255).astype(np.uint8)
+            if k % 2:
+                x[rng.integers(0, 24) :][:30, rng.integers(0, 24) :][:, :30] = 90
+            images.append(np.rot90(x, k) if label % 3 == 0 else x)
+    stamp = media.drawn(np.array([77]))[0][:24, :24]
+    for x in images[:40]:
+        x[:24, :24] = stamp
+    found = features(images)
+    n = len(images)
+    brute = groups(n, [(i, j) for i in range(n) for j in range(i + 1, n) if either(found[i], found[j])])
+    rows = [(i, x.shape[0], x.shape[1], x.tobytes()) for i, x in enumerate(images)]
+    df = spark.createDataFrame(rows, "media_id bigint, height int, width int, pixels binary")
+    got = {r.media_id: r.group_id for r in media.group_pictures(df.repartition(3)).collect()}
+    assert [got[i] for i in range(n)] == brute and 1 < len(set(brute)) < n
+
+
+def test_blocks_against_all_pairs(monkeypatch):
+    """Links between blocks connect what all pairs connect, also if the matches don't fit and the blocks are halved; a group's own pictures aren't compared."""
+    found = features(made(np.arange(60)))
+    order = [i for i in range(60) if len(found[i][0])]
+    brute = groups(60, [(i, j) for i in order for j in order if i < j and either(found[i], found[j])])
+
+    def block(some):
+        ends = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in some])]).astype(np.int64)
+        return media._Block(np.array(some), np.array(some), ends, np.concatenate([found[i][0] for i in some]), np.concatenate([found[i][1] for i in some]))
+
+    for held, compared in ((1 << 22, 1 << 17), (200, 64)):
+        monkeypatch.setattr(media, "HELD", held)
+        monkeypatch.setattr(media, "COMPARED", compared)
+        x, y = block(order[::2]), block(order[1::2])
+        pairs = [p for a, b in ((x, x), (x, y), (y, y)) for p in media._block_links(a, b, {})]
+        assert groups(60, pairs) == brute
+    same = media._Block(np.zeros(len(x.media), np.int64), x.media, x.ends, x.place, x.d)
+    assert not list(media._block_links(same, same, {}))
+
+
 def test_edge_cases(spark):
     a, b = made(np.array([8, 9000]))
     flat = bytes(4096)
