@@ -324,7 +324,7 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             yield joined(*(np.concatenate(x) for x in zip(*held)))
 
     sent = nodes.select("sig").mapInArrow(send, "route int, sig binary")
-    return sent.repartition("route").sortWithinPartitions("route").mapInArrow(find, "a binary, b binary").distinct()
+    return sent.repartition("route").sortWithinPartitions("route").mapInArrow(lambda batches: trimmed(find(batches)), "a binary, b binary").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
