@@ -14,14 +14,15 @@ each other, of more each is compared with the LEADERS of least id.  A group of
 copies that holds a third of all rows so costs time in proportion to its size.
 
 Then all pictures of different groups are compared, block by block: two
-descriptors within MAX_BITS share one of MAX_BITS + 1 pieces, so those that
-share one are compared, and no link that joins two groups is left out.
+descriptors within MAX_BITS differ in at most one bit of one of six pieces, or
+in none of a seventh, so those for which that holds are compared, and no link
+that joins two groups is left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +48,27 @@ SHORT_RUN = 32
 #: Pixels described at a time.
 PIXELS = 1 << 19
 #: Corners of a block, descriptors compared and matching corners held at a time.
-BLOCK, COMPARED, HELD = 1 << 17, 1 << 17, 1 << 22
-#: (word, first bit, bits) of the pieces of a descriptor, one more than bits may differ.
-PIECES = [(w, 64 * i // n, 64 * (i + 1) // n - 64 * i // n) for w, n in enumerate((MAX_BITS // 2 + 1, MAX_BITS - MAX_BITS // 2)) for i in range(n)]
+BLOCK, COMPARED, HELD = 1 << 17, 1 << 15, 1 << 22
+#: Counters of matching corners, each for some pairs of pictures: a prime.
+CELLS = 4194301
+#: Bits of the pieces of a descriptor, three from the start of each word, in which one may differ, and of the piece of what is left of both, which is equal:
+#: two descriptors that miss all of these differ in 6 * 2 + 1 bits, more than MAX_BITS.
+PIECE = 19
+PIECES = 7
+#: The order of the tests: those of a piece are as independent as was found by exchanging them, so that fewer descriptors share one.  Any order gives the same matches.
+ORDER = [
+    80, 1, 85, 106, 4, 83, 113, 109, 84, 9, 43, 51, 12, 7, 14, 27, 2, 11, 6, 88, 20, 21, 25, 23, 16, 118, 99, 15, 28, 29, 13, 8,
+    32, 116, 72, 75, 127, 49, 38, 71, 103, 123, 74, 26, 102, 105, 65, 76, 31, 95, 52, 48, 30, 53, 54, 55, 56, 91, 58, 59, 97, 61, 112, 19,
+    64, 39, 119, 93, 63, 92, 70, 41, 98, 68, 37, 101, 17, 77, 35, 79, 5, 0, 124, 46, 104, 36, 86, 50, 78, 33, 90, 3, 115, 126, 94, 24,
+    62, 111, 34, 10, 100, 87, 120, 40, 82, 89, 125, 96, 114, 57, 45, 122, 107, 60, 18, 73, 67, 117, 44, 66, 42, 108, 121, 22, 47, 81, 110, 69,
+]
 
 _rng = np.random.default_rng(128)
 
 
 def _tests() -> np.ndarray:
     """(TURNS, 128, 2, 2): where the two sides of each comparison are, (y, x) from the corner; quarter turns are exact."""
-    base = np.clip(_rng.normal(0, RADIUS / 2, (128, 2, 2)), -RADIUS + 2, RADIUS - 2)
+    base = np.clip(_rng.normal(0, RADIUS / 2, (128, 2, 2)), -RADIUS + 2, RADIUS - 2)[ORDER]
     out = np.zeros((TURNS, 128, 2, 2), np.int64)
     for q in range(TURNS // 4):
         a = 2 * np.pi * q / TURNS
@@ -154,8 +166,8 @@ def features(pixels: pa.Array, height: np.ndarray, width: np.ndarray) -> tuple[n
     return np.concatenate(rows), np.concatenate(places), np.concatenate(found)
 
 
-def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """How many of the matches between places ``a`` of a picture and ``b`` of another agree on one turn, scale and shift; each place counts once."""
+def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
+    """How many of the matches between places ``a`` of a picture and ``b`` of another agree on one turn, scale and shift; each place counts once.  As soon as ``enough`` do, no more are looked for."""
     ya, xa, yb, xb = (v.astype(np.float64) for v in (a >> 40, a >> 16 & 0xFFFFFF, b >> 40, b >> 16 & 0xFFFFFF))
     turn = 2 * np.pi / TURNS * ((b & 255) - (a & 255))
     size = 2.0 ** ((b >> 8 & 255) - (a >> 8 & 255))
@@ -167,6 +179,8 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
         same = np.abs((turn - turn[i] + np.pi) % (2 * np.pi) - np.pi) < 2.5 * 2 * np.pi / TURNS
         fit = (off <= OFF * max(1.0, size[i]) + 0.12 * np.hypot(dy, dx) * size[i]) & same & (size == size[i])
         best = max(best, min(len(np.unique(a[fit] >> 16)), len(np.unique(b[fit] >> 16))))
+        if enough is not None and best >= enough:
+            break
     return best
 
 
@@ -241,33 +255,57 @@ class _Block:
 
     def by(self, piece: int) -> tuple[np.ndarray, np.ndarray]:
         """Descriptors in order of one piece, and where each of its values begins."""
-        word, at, bits = PIECES[piece]
-        value = (self.word[word] >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        return np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))])
+        value, bits = _piece(self.word, piece)
+        return np.argsort(value).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))]).astype(np.int32)
+
+
+def _piece(word: Sequence[np.ndarray], piece: int) -> tuple[np.ndarray, int]:
+    """The value of a piece of each descriptor (or of how two differ), and its bits."""
+    left = 64 - 3 * PIECE
+    if piece == PIECES - 1:
+        return (word[0] >> np.uint64(3 * PIECE) << np.uint64(left) | word[1] >> np.uint64(3 * PIECE)).astype(np.int32), 2 * left
+    return (word[piece // 3] >> np.uint64(piece % 3 * PIECE) & np.uint64((1 << PIECE) - 1)).astype(np.int32), PIECE
 
 
 def _matches(x: _Block, y: _Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of descriptors of different groups that differ in at most MAX_BITS, each once (once for each order, within one block)."""
-    for piece in range(len(PIECES)):
-        (ox, ex), (oy, ey) = x.by(piece), y.by(piece)
+    """All pairs of descriptors of different groups that differ in at most MAX_BITS, each once (in one of the orders, within one block)."""
+    for piece in range(PIECES):
+        (ox, _), (oy, ey) = x.by(piece), y.by(piece)
         wx, wy = x.word[:, ox], y.word[:, oy]
-        for v in np.flatnonzero((np.diff(ex) > 0) & (np.diff(ey) > 0)):
-            b, e = ey[v], ey[v + 1]
-            step = max(1, COMPARED // int(e - b))
-            for a in range(ex[v], ex[v + 1], step):
-                z = min(a + step, ex[v + 1])
-                far = np.bitwise_count(wx[0, a:z, None] ^ wy[0, b:e])
-                far += np.bitwise_count(wx[1, a:z, None] ^ wy[1, b:e])
+        first = 1 if piece < PIECES // 2 else 0  # the word without the piece, in which most differ too much
+        value, bits = _piece(wx, piece)
+        for mask in [0] + [1 << k for k in range(bits)] * (piece < PIECES - 1):
+            other = value ^ np.int32(mask)
+            begin = ey[other]
+            n = ey[other + 1] - begin
+            if x is y:
+                n = n * (value & np.int32(mask) == 0) if mask else ey[other + 1] - np.arange(1, len(value) + 1, dtype=np.int32)
+                begin = begin if mask else np.arange(1, len(value) + 1, dtype=np.int32)
+            some = np.flatnonzero(n)
+            begin, n = begin[some], n[some].astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            begin = begin - upto[:-1]
+            word, row = wx[first, some], some.astype(np.int32)
+            edge = np.flatnonzero(np.diff(upto[:-1] // COMPARED, prepend=-1))
+            for a, z in zip(edge, [*edge[1:], len(n)]):
+                m = np.repeat(begin[a:z], n[a:z])
+                m += np.arange(upto[a], upto[z])
+                d = wy[first].take(m)
+                d ^= np.repeat(word[a:z], n[a:z])
+                far = np.bitwise_count(d)
                 hit = np.flatnonzero(far <= MAX_BITS)
-                i, j = ox[a + hit // (e - b)], oy[b + hit % (e - b)]
-                ok = x.of[i] != y.of[j]
-                i, j = i[ok], j[ok]
-                if not len(i):
+                k, m = np.repeat(row[a:z], n[a:z])[hit], m[hit]
+                rest = wx[1 - first, k] ^ wy[1 - first, m]
+                ok = np.flatnonzero(far[hit] + np.bitwise_count(rest) <= MAX_BITS)
+                i, j = ox[k[ok]], oy[m[ok]]
+                own = np.flatnonzero(x.of[i] != y.of[j])
+                if not len(own):
                     continue
-                other = x.word[:, i] ^ y.word[:, j]
+                i, j, ok = i[own], j[own], ok[own]
+                differ = (rest[ok], d[hit[ok]]) if first else (d[hit[ok]], rest[ok])
                 ok = np.ones(len(i), bool)
-                for word, at, bits in PIECES[:piece]:  # found by these already
-                    ok &= other[word] >> np.uint64(at) & np.uint64((1 << bits) - 1) != 0
+                for earlier in range(piece):  # found by these already
+                    ok &= np.bitwise_count(_piece(differ, earlier)[0]) > 1
                 yield i[ok], j[ok]
 
 
@@ -304,15 +342,16 @@ def _block_links(x: _Block, y: _Block, label: dict[int, int]) -> Iterator[tuple[
         k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         p, q = x.order[x.begin[i][at] + k // y.count[j][at]], y.order[y.begin[j][at] + k % y.count[j][at]]
         if one:
-            some = p < q
-            p, q = p[some], q[some]
+            p, q = np.minimum(p, q), np.maximum(p, q)
         left.append(p.astype(np.int32))
         right.append(q.astype(np.int32))
     p, q = np.concatenate(left), np.concatenate(right)
     # enough matches of one size for any to agree
     size = (y.place[q] >> 8 & 255) - (x.place[p] >> 8 & 255) + SCALES
     key = (x.picture[p] * len(y.media) + y.picture[q]) * (2 * SCALES) + size
-    order = np.argsort(key, kind="stable")
+    cell = key % CELLS
+    many = np.flatnonzero((np.bincount(cell, minlength=CELLS) >= AGREE)[cell])  # few pairs of pictures have enough
+    order = many[np.argsort(key[many], kind="stable")]
     key = key[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     for i in np.flatnonzero(np.diff(edge) >= AGREE):
@@ -329,7 +368,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     turn = (b & 255) - (a & 255)
     if (np.abs((turn[:, None] - turn + TURNS // 2) % TURNS - TURNS // 2) < 2.5).sum(axis=1).max() < AGREE:
         return False
-    return consensus(a, b) >= AGREE or consensus(b, a) >= AGREE
+    return consensus(a, b, AGREE) >= AGREE or consensus(b, a, AGREE) >= AGREE
 
 
 def links_between(pictures: DataFrame) -> DataFrame:
@@ -421,7 +460,7 @@ def group_pictures(media: DataFrame, id_col: str = "media_id", pixels: str = "pi
         for lists in batches:
             ends = lists.offsets.to_numpy()
             a, b = (lists.values.field(i).to_numpy() for i in (0, 1))
-            yield pa.array([consensus(a[s:e], b[s:e]) for s, e in zip(ends, ends[1:])], pa.int32())
+            yield pa.array([consensus(a[s:e], b[s:e], AGREE) for s, e in zip(ends, ends[1:])], pa.int32())
 
     votes = same.unionByName(near).groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")).where(F.size("places") >= AGREE)
     links = cut(votes.where(agree(F.col("places")) >= AGREE).select("a", "b"))
