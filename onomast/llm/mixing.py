@@ -73,7 +73,7 @@ def schedule(weights: list[tuple[str, float]], slots: int, spark: SparkSession)
         for ids in batches:
             yield names.take(pa.array(np.searchsorted(bounds, points(ids.to_numpy()), side="right")))
 
-    all_slots = spark.range(slots).select(F.col("id").alias("slot"), source("id").alias("source"), F.lit(1).alias("_one"))
+    all_slots = spark.range(slots).select(F.col("id").alias("slot"), F.coalesce(source("id"), F.lit("")).alias("source"), F.lit(1).alias("_one"))  # never null: else joins ask for that with a second worker in the task
     return _running(all_slots, ["source"], F.floor(F.col("slot") / SLOTS), ["slot"], "_one", "rank").drop("_one")
 
 
@@ -86,7 +86,7 @@ def _placed(docs: DataFrame, block_tokens: int, seed: int, weights: dict[str, fl
     use = [(r["source"], float(r["tokens"]) ** power if weights is None else float(weights.get(r["source"], 0.0)), max(1, -(-r["tokens"] // block_tokens))) for r in sizes]
     use = [x for x in use if x[1] > 0]
     total = sum(b for _, _, b in use)
-    blocks = spark.createDataFrame([(s, b) for s, _, b in use], "source string, blocks bigint")
+    blocks = spark.createDataFrame(pa.table({"source": pa.array([s for s, _, _ in use], pa.string()), "blocks": pa.array([b for _, _, b in use], pa.int64())}))  # rows of Python would be read by workers of their own
     digits = 2
     while sizes and max(r["rows"] for r in sizes) > PART_ROWS * 16**digits:
         digits += 1

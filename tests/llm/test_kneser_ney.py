@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import brute_models
@@ -47,3 +48,19 @@ def test_counts_given_out_in_parts(monkeypatch, spark):
     for label, x in (("en", "abcabcabd"), ("de", "abc")):
         want.update((label, int(k)) for k in kneser_ney.ngram_keys(pa.array([x]), 3)[0])
     assert counts == want
+
+
+def test_scoring_takes_little_memory(monkeypatch):
+    """Two workers of an executor score at once: the arrays of a whole slice took some 48 times its text."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts = pa.array([None, ""] + [" ".join(rng.choice(words) for _ in range(400)) for _ in range(450)])
+    model = kneser_ney.NgramModel(*np.unique(kneser_ney.ngram_keys(texts, 4)[0], return_counts=True), 4)
+    tracemalloc.start()
+    sums, n = kneser_ney.text_scores(texts, [model, model], low=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * n.sum()
+    monkeypatch.setattr(kneser_ney, "SCORED", 1 << 30)
+    whole, again = kneser_ney.text_scores(texts, [model, model], low=2)
+    assert np.array_equal(n, again) and np.allclose(sums, whole, rtol=1e-9)

@@ -59,3 +59,21 @@ def test_edges(spark):
     # far slots: exact with integers of any size
     far = np.array([0, 1, 3_480_000_000, 2**40 + 12345])
     assert mixing.points(far).tolist() == [t * mixing.GOLDEN % 2**32 for t in far.tolist()]
+
+
+def test_a_task_has_one_python_worker(spark):
+    """Workers live on after the stage; a second one in every task, and those of another kind that read rows of Python, took some 250 MB of an executor."""
+
+    def most(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return most(node.initialPlan())
+        parts = [most(node.children().apply(i)) for i in range(node.children().size())]
+        here = max((n for n, _ in parts), default=0) + ("Python" in name or "InArrow" in name)
+        return (0 if "Exchange" in name else here), max([here, *(n for _, n in parts)])
+
+    out = mixing.stage(spark, docs(spark).select("doc_id", "text", "source").where("doc_id < 100"), "")
+    assert most(out._jdf.queryExecution().executedPlan())[1] == 1
+    placed, slots, _ = mixing._placed(docs(spark), mixing.BLOCK_TOKENS, mixing.SEED, None, mixing.POWER)
+    for df in (placed, slots):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
