@@ -234,6 +234,27 @@ def index_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_semi").select("id", "synonym", "priority", "tax")
 
 
+def ambiguity(entries: DataFrame, tax: str) -> DataFrame:
+    """(synonym, ambiguous, within, between_taxa, has_tax, ids, last_id, only_id, n_priorities) of all names in different entries (synonym, id, priority, tax).
+
+    As the rules for arrays of entries say, but by aggregates, as a name may
+    stand for very many ids: only those of the taxon asked for come into one row.
+    """
+    own = F.coalesce(F.col("tax") == tax, F.lit(False))
+    ids = entries.groupBy("synonym", "id").agg(F.count("*").alias("_n"), F.bool_or(own).alias("_own"))
+    mine = F.when(F.col("_own"), F.col("id"))
+    n_own = F.count_if("_own")
+    of_ids = ids.groupBy("synonym").agg(
+        (F.count("*") > 1).alias("ambiguous"), (n_own > 0).alias("has_tax"), F.sort_array(F.collect_list(mine)).alias("ids"), F.max(mine).alias("last_id"), F.when(n_own == 1, F.max(mine)).alias("only_id"),
+        F.coalesce(F.sum(F.when(mine.isNotNull(), F.col("_n"))), F.lit(0)).alias("n_priorities"),
+    )
+    # least and greatest tell whether ids differ; a null is one more
+    some = (F.min("id") != F.max("id")) | (F.count("id").between(1, F.count("*") - 1))
+    taxa = entries.groupBy("synonym", "tax").agg((F.coalesce(some, F.lit(False)) & F.col("tax").isNotNull()).alias("_some"))
+    of_taxa = taxa.groupBy("synonym").agg(F.bool_or("_some").alias("within"), (F.count("*") > 1).alias("between_taxa"))
+    return of_ids.join(of_taxa, "synonym").select("synonym", "ambiguous", "within", "between_taxa", "has_tax", "ids", "last_id", "only_id", "n_priorities")
+
+
 def highest_tax(candidates_: DataFrame, key: str, default: str) -> DataFrame:
     """(key, tax): the taxon of greatest score (key, tax, score) of each key, else the default; equal scores: the first."""
     return candidates_.groupBy(key).agg(F.min_by("tax", F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), "tax")).alias("tax")).withColumn("tax", F.coalesce("tax", F.lit(default)))

@@ -399,13 +399,8 @@ SQL_CONTEXTS = f"WITH {ITEMS} SELECT id, string_agg(item, '|' ORDER BY item) AS
 
 
 def lk_ambiguity(spark, sf_dir):
-    e, tax = F.col("entries"), F.lit(TAXA[0])
-    names = index.synonyms(_many(spark, sf_dir).withColumnRenamed("synonym", "name"))
-    return names.select(
-        "synonym", rules.is_ambiguous(e).alias("ambiguous"), rules.is_ambiguous_within(e).alias("within"), rules.is_ambiguous_between(e).alias("between_taxa"), rules.has_tax(e, tax).alias("has_tax"),
-        F.array_join(F.transform(F.sort_array(rules.ids_of(e, tax)), lambda i: i.cast("string")), " ").alias("ids"), rules.restrict_to_tax(e, tax).alias("last_id"), rules.id_in_tax(e, tax).alias("only_id"),
-        F.size(rules.priorities_of(e, rules.ids_of(e, tax))).cast("bigint").alias("n_priorities"),
-    )
+    found = retrieval.ambiguity(_many(spark, sf_dir), TAXA[0])
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), " "))
 
 
 SQL_AMBIGUITY = f"""
