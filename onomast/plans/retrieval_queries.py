@@ -363,8 +363,11 @@ def _ids(spark, sf_dir):
 
 def _many(spark, sf_dir):
     """Entries whose ids have several names: suppliers by what they sell."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return pairs.select(F.col("p_name").alias("synonym"), F.col("l_suppkey").alias("id"), (F.col("p_size") % 9 - 1).cast("int").alias("priority"), F.col("p_brand").alias("tax")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    pairs = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = pairs.select(F.col("p_name").alias("synonym"), F.col("l_suppkey").alias("id"), (F.col("p_size") % 9 - 1).cast("int").alias("priority"), F.col("p_brand").alias("tax"))
+    # few are equal, so they aren't looked for before the shuffle, where a task would hold all of its rows
+    return rows.repartition("id").distinct()
 
 
 MANY = "many AS (SELECT DISTINCT p_name AS synonym, l_suppkey AS id, CAST(p_size % 9 - 1 AS INTEGER) AS priority, p_brand AS tax FROM lineitem JOIN part ON l_partkey = p_partkey)"

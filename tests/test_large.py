@@ -26,3 +26,12 @@ def test_ambiguity_of_a_name_with_very_many_ids(spark):
     began = time.time()
     (row,) = retrieval.ambiguity(many, "t").select(F.size("ids").alias("n"), "within", "n_priorities", "last_id").collect()
     assert tuple(row) == (150_000, True, 150_000, 299_998) and time.time() - began < 30
+
+
+def test_entries_are_made_different_once_and_only_after_the_shuffle(spark):
+    from onomast.plans import catalog
+
+    plan = catalog.QUERIES["lk_index_entries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before = [line for line in plan.splitlines() if "HashAggregate" in line and "synonym" in line]
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "synonym" in line]
+    assert before and not shuffles, plan
