@@ -64,9 +64,14 @@ def nearest(spans: DataFrame, marks: DataFrame, tax: str = "tax", key: str = "do
 
 
 def heading_taxa(headings: DataFrame, descriptors: DataFrame, heading: str = "heading") -> DataFrame:
-    """(doc_id, part, tax): the taxa of each part of headings, which are cut at commas and blanks, by a table of (descriptor, tax)."""
-    parts = headings.select("doc_id", F.explode(F.split(F.col(heading), r",\s+")).alias("part"))
-    return parts.join(descriptors.select(F.col("descriptor").alias("part"), "tax"), "part").select("doc_id", "part", "tax").distinct()
+    """(doc_id, part, tax): the taxa of each part of headings, which are cut at commas and blanks, by a table of (descriptor, tax).
+
+    Both sides are made different before the join, whose rows then are so, as
+    it makes many of each part.  Headings are sent by document first, or else
+    a task would look for equal ones among all that it reads.
+    """
+    parts = headings.select("doc_id", heading).repartition("doc_id").select("doc_id", F.explode(F.array_distinct(F.split(F.col(heading), r",\s+"))).alias("part")).distinct()
+    return parts.join(descriptors.select(F.col("descriptor").alias("part"), "tax").distinct(), "part").select("doc_id", "part", "tax")
 
 
 def in_title(species: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -3,7 +3,7 @@
 import time
 
 from onomast.functions import rules
-from onomast.operators import index, retrieval
+from onomast.operators import index, retrieval, spans
 from pyspark.sql import functions as F
 
 ENTRIES = "synonym string, id bigint, priority int, tax string"
@@ -35,3 +35,13 @@ def test_entries_are_made_different_once_and_only_after_the_shuffle(spark):
     before = [line for line in plan.splitlines() if "HashAggregate" in line and "synonym" in line]
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "synonym" in line]
     assert before and not shuffles, plan
+
+
+def test_headings_make_no_rows_that_are_dropped_again(spark):
+    headings = spark.createDataFrame([(1, "a, b"), (1, "b, a, a"), (2, "b"), (2, None), (None, "a")], "doc_id bigint, heading string")
+    descriptors = spark.createDataFrame([("a", "t"), ("a", "u"), ("a", "u"), ("b", None), (None, "t")], "descriptor string, tax string")
+    found = spans.heading_taxa(headings, descriptors)
+    rows = lambda *r: sorted(r, key=str)
+    assert rows(*map(tuple, found.collect())) == rows((1, "a", "t"), (1, "a", "u"), (1, "b", None), (2, "b", None), (None, "a", "t"), (None, "a", "u"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
