@@ -193,10 +193,16 @@ def longest_first(mentions: DataFrame, order: str) -> DataFrame:
 
 
 def without_tagger_overlaps(mentions: DataFrame, tagger: str) -> DataFrame:
-    """All mentions of a tagger, and those of others that overlap none of them."""
-    mine, rest = mentions.where(F.col("tagger") == tagger), mentions.where(~F.coalesce(F.col("tagger") == tagger, F.lit(False)))
-    hit = overlapping(rest.select("doc_id", "begin", "end").distinct(), mine.select("doc_id", "begin", "end").distinct()).select("doc_id", "begin", "end").distinct()
-    return mine.unionByName(rest.join(hit, ["doc_id", "begin", "end"], "left_anti"))
+    """All mentions of a tagger, and those of others that overlap none of them.
+
+    A span overlaps one of the tagger if of those that begin up to its end the
+    last to end does so at its begin or after it: one window over each
+    document, whatever the spans' lengths.
+    """
+    mine = F.coalesce(F.col("tagger") == tagger, F.lit(False))
+    w = Window.partitionBy("doc_id").orderBy(F.when(mine, F.col("begin")).otherwise(F.col("end"))).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(mine & F.col("begin").isNotNull() & F.col("doc_id").isNotNull(), F.col("end"))).over(w)
+    return mentions.withColumn("_last", last).where(mine | ~F.coalesce(F.col("_last") >= F.col("begin"), F.lit(False))).drop("_last")
 
 
 def with_candidates(mentions: DataFrame, found: DataFrame, mention: str = "mention") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators whose memory or time must not grow with the longest group, or faster than the input."""
 
+import random
 import time
 
 from onomast.functions import rules
@@ -45,3 +46,17 @@ def test_headings_make_no_rows_that_are_dropped_again(spark):
     assert rows(*map(tuple, found.collect())) == rows((1, "a", "t"), (1, "a", "u"), (1, "b", None), (2, "b", None), (None, "a", "t"), (None, "a", "u"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_without_overlaps_against_all_pairs(spark):
+    rng = random.Random(3)
+    spot = lambda: None if rng.random() < 0.05 else rng.randint(0, 80)
+    rows = [(rng.choice(["d", "e", None]), b := spot(), None if b is None or rng.random() < 0.05 else b + rng.randint(-2, 9), rng.choice(["x", "y", "z", None]), i) for i in range(200)]
+    meet = lambda a, m: None not in (a[0], m[0], *a[1:3], *m[1:3]) and a[0] == m[0] and a[1] <= m[2] and m[1] <= a[2]
+    want = [r[4] for r in rows if r[3] == "x" or not any(m[3] == "x" and meet(r, m) for m in rows)]
+    table = spark.createDataFrame(rows, "doc_id string, begin int, end int, tagger string, i int")
+    assert sorted(r.i for r in spans.without_tagger_overlaps(table, "x").collect()) == want
+    # one row for each span, not for each stretch of positions that it covers
+    wide = spark.createDataFrame([("d", 0, 2_000_000_000, "x"), ("d", 5, 1_900_000_000, "y"), ("e", 5, 1_900_000_000, "y")], "doc_id string, begin int, end int, tagger string")
+    assert [tuple(r)[0::3] for r in spans.without_tagger_overlaps(wide, "x").orderBy("doc_id").collect()] == [("d", "x"), ("e", "y")]
+    assert "Generate" not in spans.without_tagger_overlaps(wide, "x")._jdf.queryExecution().optimizedPlan().toString()
