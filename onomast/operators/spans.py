@@ -249,16 +249,18 @@ def components(edges: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(key, node, component) of all nodes of (key, a, b): the least node that is connected.
 
     Labels pass along edges and jump to their labels' labels, each round from
-    a checkpoint, until none changes: some log2 of the longest path.
+    a checkpoint, until none changes: some log2 of the longest path.  Labels are
+    never broadcast, however small the optimizer takes them to be, as all of
+    them would go through the driver in every round.
     """
     k = list(key)
     both = cut(edges.select(*k, "a", "b").where("a IS NOT NULL AND b IS NOT NULL").unionByName(edges.select(*k, F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")).distinct())
     labels = cut(both.groupBy(*k, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         of = labels.select(*k, F.col("node").alias("b"), F.col("component").alias("_c"))
-        near = both.join(of, [*k, "b"]).groupBy(*k, F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
+        near = both.join(of.hint("merge"), [*k, "b"]).groupBy(*k, F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
         jump = labels.select(*k, F.col("node").alias("component"), F.col("component").alias("_jump"))
-        new = cut(labels.join(near, [*k, "node"]).join(jump, [*k, "component"], "left").select(*k, "node", "component", F.least("component", "_near", "_jump").alias("new")))
+        new = cut(labels.join(near.hint("merge"), [*k, "node"]).join(jump.hint("merge"), [*k, "component"], "left").select(*k, "node", "component", F.least("component", "_near", "_jump").alias("new")))
         labels = new.select(*k, "node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return labels

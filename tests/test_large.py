@@ -60,3 +60,12 @@ def test_without_overlaps_against_all_pairs(spark):
     wide = spark.createDataFrame([("d", 0, 2_000_000_000, "x"), ("d", 5, 1_900_000_000, "y"), ("e", 5, 1_900_000_000, "y")], "doc_id string, begin int, end int, tagger string")
     assert [tuple(r)[0::3] for r in spans.without_tagger_overlaps(wide, "x").orderBy("doc_id").collect()] == [("d", "x"), ("e", "y")]
     assert "Generate" not in spans.without_tagger_overlaps(wide, "x")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_never_broadcast_labels(spark, monkeypatch):
+    plans, real = [], spans.cut
+    monkeypatch.setattr(spans, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    edges = spark.range(64).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 16 < 14, 2).otherwise(0)).alias("b"))
+    found = spans.components(edges)
+    assert found.count() == 64 and found.where("component <> node - node % 16 + node % 2").isEmpty()
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
