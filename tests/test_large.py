@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
-from onomast.functions import rules
+import pyarrow as pa
+from onomast.functions import rules, stem
 from onomast.operators import index, retrieval, spans
 from pyspark.sql import functions as F
 
@@ -69,3 +71,17 @@ def test_components_never_broadcast_labels(spark, monkeypatch):
     found = spans.components(edges)
     assert found.count() == 64 and found.where("component <> node - node % 16 + node % 2").isEmpty()
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_stemming_holds_each_different_word_once():
+    """A batch of long texts: Python's memory is that of different words, not of all."""
+    lists = pa.array([["running", None, "cats"], None, [], ["cats"] * 3], pa.list_(pa.string()))
+    assert stem.stemmed_lists(lists).to_pylist() == [["run", None, "cat"], None, [], ["cat"] * 3]
+    assert stem.stemmed_lists(lists[1:]).to_pylist() == [None, [], ["cat"] * 3]
+    assert stem.stemmed_lists(lists[:0]).to_pylist() == []
+    long = pa.array([[f"word{i % 1000}ing" for i in range(1000)]], pa.list_(pa.string())).take(pa.array([0] * 1000))
+    tracemalloc.start()
+    stem.stemmed_lists(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
