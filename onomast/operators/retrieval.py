@@ -156,22 +156,27 @@ def map_top_n(terms: DataFrame, postings: DataFrame, n: int, term: str = "term",
 # Context as a bag of words
 
 
-def context_or(queries: DataFrame, documents: DataFrame, least: float = 0.0, allowed: DataFrame | None = None, top: int = 1) -> DataFrame:
+def context_or(queries: DataFrame, documents: DataFrame, least: float = 0.0, allowed: DataFrame | None = None, top: int | None = 1) -> DataFrame:
     """(query_id, id, score): the documents (id, tokens) most relevant to queries (query_id, tokens), any shared token counting; those of at least ``least``.
 
-    ``allowed`` (query_id, id) restricts which are considered without bearing on scores.
+    ``allowed`` (query_id, id) restricts which are considered without bearing on scores; without ``top`` all are given.
+
+    Documents are shuffled once, by id, and scored where they are: every task
+    holds the queries' tokens with their weights.
     """
     want = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    each = documents.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(want.select("token").distinct(), "token", "left_semi")
-    tf = each.groupBy("id", "n", "token").agg(F.count("*").alias("tf"))
+    by_id = documents.select("id", F.size("tokens").alias("n"), "tokens").repartition("id")
+    tf = by_id.select("id", "n", F.explode("tokens").alias("token")).join(F.broadcast(want.select("token").distinct()), "token", "left_semi").groupBy("id", "n", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     total = documents.agg(F.count("*").alias("_n"))
     weights = df.crossJoin(total).select("token", F.pow(1 + F.log((F.col("_n") + 1) / (F.col("df") + 1)), 2).alias("w"))  # with one row
     part = F.sqrt("tf") * F.col("w") / F.sqrt("n")
-    found = want.join(weights, "token").join(tf, "token")
-    if allowed is not None:
-        found = found.join(allowed, ["query_id", "id"], "left_semi")
+    found = tf.join(F.broadcast(want.join(weights, "token")), "token")
     sums = found.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") >= least)
+    if allowed is not None:
+        sums = sums.join(allowed, ["query_id", "id"], "left_semi")
+    if top is None:
+        return sums.select("query_id", "id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return sums.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).select("query_id", "id", "score")
 
@@ -184,7 +189,7 @@ def contexts_of(ids: DataFrame, items: DataFrame, field: str | None = None) -> D
 
 def best_contexts(queries: DataFrame, hits: DataFrame, documents: DataFrame, least: float = 0.0, separate: bool = False) -> DataFrame:
     """(query_id, synonym, id, score): of the candidates (query_id, synonym, id) of each query the one whose context is most relevant; with ``separate`` the best for each synonym."""
-    scores = context_or(queries, documents, least, hits.select("query_id", "id").distinct(), top=1_000_000_000)
+    scores = context_or(queries, documents, least, hits.select("query_id", "id").distinct(), top=None)
     order = Window.partitionBy("query_id", *(["synonym"] if separate else [])).orderBy(F.desc("score"), "id", "synonym")
     found = hits.select("query_id", "synonym", "id").distinct().join(scores, ["query_id", "id"])
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query_id", "synonym", "id", "score")

@@ -1,6 +1,7 @@
 """Operators whose memory or time must not grow with the longest group, or faster than the input."""
 
 import random
+import re
 import time
 import tracemalloc
 
@@ -85,3 +86,18 @@ def test_stemming_holds_each_different_word_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5_000_000
+
+
+def test_contexts_shuffle_documents_not_their_matches(spark):
+    words = "a b c d e f".split()
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i % 25, [rng.choice(words) for _ in range(rng.randint(1, 9))]) for i in range(30)], "id bigint, tokens array<string>")
+    queries = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c", "x"])], "query_id bigint, tokens array<string>")
+    allowed = spark.createDataFrame([(1, 3), (1, 4), (2, 4)], "query_id bigint, id bigint")
+    everything = {(r.query_id, r.id): r.score for r in retrieval.context_or(queries, docs, top=None).collect()}
+    best = {r.query_id: (-r.score, r.id) for r in retrieval.context_or(queries, docs).collect()}
+    assert best == {q: min((-s, i) for (k, i), s in everything.items() if k == q) for q in (1, 2)}
+    some = {(r.query_id, r.id): r.score for r in retrieval.context_or(queries, docs, 0.0, allowed, None).collect()}
+    assert some == {k: v for k, v in everything.items() if k in {(1, 3), (1, 4), (2, 4)}}
+    plan = retrieval.context_or(queries, docs, top=None)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((.*?)#\d+L?, \d+\)", plan)) == {"id", "token"}
